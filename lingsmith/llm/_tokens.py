@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -14,8 +15,13 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Boundaries at which the lower-casing word vocabulary always splits: contractions, letters, single digits, the rest.
 PIECE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[^\W\d_]+|\d|(?:[^\w{SPACE}]|_)+")
 
+#: The same for texts without capitals in ASCII, and for texts of the Latin blocks whose letters all stand composed.
+ASCII_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t\n\x0b\x0c\r ]+")
+LATIN_PIECE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9{SPACE}]+")
+BEYOND_LATIN = re.compile("[^\x00-\x7f\xa0¡«»¿À-ÖØ-öø-ɏ‘’“”–—…]")
+
 #: Pieces that a worker remembers at most; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 _kept: dict[str, object] = {}
 
@@ -66,31 +72,43 @@ class WordTokens:
     """Ids of the lower-casing word vocabulary by the tokenizers library, each distinct piece encoded once a worker.
 
     Its pattern never crosses the boundaries of PIECE once a text is in NFC, so the ids of a text are those of its
-    pieces in turn. A text that holds the string of a special token is encoded as a whole.
+    pieces in turn. Pieces of ASCII go straight to the library's BPE model, others through its whole chain. A text
+    that holds the string of a special token is encoded as a whole.
     """
 
     def __init__(self, json_path: str):
         self.tokenizer = library(json_path)
-        self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        # dotted capital I is the one letter whose lower case holds a mark, at which the pattern splits
+        self.special = [*(str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()), "\u0130"]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         self.ids: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        import unicodedata
-
+        """Ids as the smallest unsigned integers that hold the vocabulary."""
         if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = PIECE.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        if text.isascii():
+            pieces = ASCII_PIECE.findall(text.lower())
+        elif not BEYOND_LATIN.search(text):
+            pieces = LATIN_PIECE.findall(text)
+        else:
+            pieces = PIECE.findall(unicodedata.normalize("NFC", text))
         ids = self.ids
         try:
-            return np.frombuffer(b"".join([ids[x] for x in pieces]), np.uint32)
+            return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
         except KeyError:
             pass
         if len(ids) > REMEMBERED:
             ids.clear()
-        new = [x for x in dict.fromkeys(pieces) if x not in ids]
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids[x] = np.array(found.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([ids[x] for x in pieces]), np.uint32)
+        new = [x for x in set(pieces) if x not in ids]
+        plain = [x for x in new if x.isascii() and x.isprintable()]
+        other = [x for x in new if not (x.isascii() and x.isprintable())]
+        for x in plain:
+            ids[x] = np.array([t.id for t in self.model.tokenize(x.lower())], self.kind).tobytes()
+        for x, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            ids[x] = np.array(found.ids, self.kind).tobytes()
+        return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
 
 
 def word_tokens(json_path: str) -> WordTokens:

@@ -47,7 +47,7 @@ class WaveletMatrix:
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        now = ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=False)
         planes, zeros = [], []
         for bit in range(bits - 1, -1, -1):
             one = (now >> now.dtype.type(bit)) & now.dtype.type(1) != 0
@@ -151,7 +151,7 @@ SHARDS = "bucket int, shard int, doc_ids binary, lengths binary, n_ids long, wav
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    tokens = word_tokens(path)
+    tokens, pack = word_tokens(path), zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, off = raw(batch.column(1))
         ids = batch.column(0)
@@ -159,14 +159,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds:
         for i in range(0, len(ids), 500):
             out = []
             for j in range(i, min(i + 500, len(ids))):
-                found = np.append(tokens.encode(bytes(data[off[j] : off[j + 1]]).decode()), np.uint32(end_id))
-                out.append(zstandard.compress(found.astype(np.uint16).tobytes() if found.max() < 65536 else b"\0" + found.tobytes(), 1))
+                found = np.append(tokens.encode(data[off[j] : off[j + 1]].tobytes().decode()), tokens.kind(end_id))
+                out.append(pack.compress(found.tobytes() if found.itemsize == 2 else b"\0" + found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 500]), ids[i : i + 500], pa.array(out, pa.binary())], ["bucket", "doc_id", "ids"])
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     data = zstandard.decompress(data)
-    return np.frombuffer(data[1:], np.uint32) if len(data) % 2 else np.frombuffer(data, np.uint16).astype(np.uint32)
+    return np.frombuffer(data[1:], np.uint32) if len(data) % 2 else np.frombuffer(data, np.uint16)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_ids: int) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from lingsmith.llm import fingerprint, packing, wavelet
 from lingsmith.llm.queries import op3_best_fit_packing, op9_fingerprints, op10_wavelet_tokens
 
 SF = "/root/testdata/sf0.001"
-ODD = [(5, None, "x"), (1, "", "x"), (3, "dup", "y"), (3, "dup", "y"), (None, "no id", None), (9, "It's DON'T’s  ³x² a_b́ é é <|endoftext|> ſ 12'st \x1c z", "x"), (2, "word " * 9000, "x")]
+ODD = [(5, None, "x"), (1, "", "x"), (3, "dup", "y"), (3, "dup", "y"), (None, "no id", None), (9, "İ'm It's DON'T’s  ³x² a_b́ é é <|endoftext|> ſ 12'st \x1c z", "x"), (2, "word " * 9000, "x")]
 
 
 @pytest.fixture(scope="module")
