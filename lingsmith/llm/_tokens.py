@@ -6,6 +6,7 @@ import base64
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -20,6 +21,12 @@ ASCII_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t\n\x0b\x
 LATIN_PIECE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9{SPACE}]+")
 BEYOND_LATIN = re.compile("[^\x00-\x7f\xa0¡«»¿À-ÖØ-öø-ɏ‘’“”–—…]")
 
+#: Words that the chain before the model leaves as they are, but for the byte-level alphabet.
+WORD = re.compile("[a-zß-öø-ÿ]+")
+#: That alphabet: a byte of no printable Latin-1 character is shown by the next one from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+SHOWN = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+
 #: Pieces that a worker remembers at most; then it starts afresh.
 REMEMBERED = 1_200_000
 
@@ -72,7 +79,7 @@ class WordTokens:
     """Ids of the lower-casing word vocabulary by the tokenizers library, each distinct piece encoded once a worker.
 
     Its pattern never crosses the boundaries of PIECE once a text is in NFC, so the ids of a text are those of its
-    pieces in turn. Pieces of ASCII go straight to the library's BPE model, others through its whole chain. A text
+    pieces in turn. Plain words go straight to the library's BPE model, others through its whole chain. A text
     that holds the string of a special token is encoded as a whole.
     """
 
@@ -91,7 +98,7 @@ class WordTokens:
         if text.isascii():
             pieces = ASCII_PIECE.findall(text.lower())
         elif not BEYOND_LATIN.search(text):
-            pieces = LATIN_PIECE.findall(text)
+            pieces = LATIN_PIECE.findall(text.lower())
         else:
             pieces = PIECE.findall(unicodedata.normalize("NFC", text))
         ids = self.ids
@@ -102,12 +109,15 @@ class WordTokens:
         if len(ids) > REMEMBERED:
             ids.clear()
         new = [x for x in set(pieces) if x not in ids]
-        plain = [x for x in new if x.isascii() and x.isprintable()]
-        other = [x for x in new if not (x.isascii() and x.isprintable())]
-        for x in plain:
-            ids[x] = np.array([t.id for t in self.model.tokenize(x.lower())], self.kind).tobytes()
+        code, tokenize = "H" if self.kind is np.uint16 else "I", self.model.tokenize
+        other = []
+        for x in new:
+            if WORD.fullmatch(x):
+                ids[x] = array(code, [t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+            else:
+                other.append(x)
         for x, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            ids[x] = np.array(found.ids, self.kind).tobytes()
+            ids[x] = array(code, found.ids).tobytes()
         return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
 
 

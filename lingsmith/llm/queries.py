@@ -13,12 +13,38 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lingsmith.llm.quality import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lingsmith.llm.packing import pack
 
     return pack(spark, table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lingsmith.llm.toxicity import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the text that is left."""
+    from lingsmith.llm.linededup import dedup_lines
+
+    return dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as often as it is taken: every one once at least, no source passed over more than twice."""
+    from lingsmith.llm.mixing import mix
+
+    return mix(spark, table(spark, sf_dir, "documents"), repetition=2.0).select("doc_id", "source", "epoch", "place")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lingsmith.llm.fingerprint import probe
 
@@ -31,6 +57,6 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(spark, table(spark, sf_dir, "documents"), _path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_fingerprints, op10_wavelet_tokens)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op3_best_fit_packing, op6_toxicity_ftrl, op7_line_dedup, op8_source_mixing, op9_fingerprints, op10_wavelet_tokens)}
 
 ORACLES: dict[str, str] = {}
