@@ -25,6 +25,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lingsmith.llm.jaccard import groups
+
+    return groups(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lingsmith.llm.toxicity import score
 
@@ -57,6 +63,6 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(spark, table(spark, sf_dir, "documents"), _path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op3_best_fit_packing, op6_toxicity_ftrl, op7_line_dedup, op8_source_mixing, op9_fingerprints, op10_wavelet_tokens)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op3_best_fit_packing, op4_ngram_jaccard_join, op6_toxicity_ftrl, op7_line_dedup, op8_source_mixing, op9_fingerprints, op10_wavelet_tokens)}
 
 ORACLES: dict[str, str] = {}
