@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingsmith.llm._spark import components, dropped, staged, width
@@ -37,6 +37,8 @@ SKETCH_BITS = 512
 LONG_LIST, CHUNK = 4096, 2048
 #: Members that are compared at once.
 BLOCK = 256
+#: Bits of the map that tells which texts are asked for, and the blocks it travels in.
+MARK_BITS, MARK_BLOCKS = 24, 16
 #: An id that stands for null, after all others.
 NO_ID = 2**63 - 1
 
@@ -248,11 +250,56 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a bitmap of digests."""
+    bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
+    flat = bits.reshape(-1)
+    for batch in batches:
+        at = _slots(batch.column(0).to_pylist())
+        np.bitwise_or.at(flat, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    used = np.flatnonzero(bits.any(1))
+    if len(used):
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zstandard.compress(bits[i].tobytes(), 1) for i in used], pa.binary())], ["block", "body"])
+
+
+def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(zstandard.decompress(body), np.uint8)
+            total[block] = total[block] | x if block in total else x
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "body"])
+
+
+def _slots(digests: list[bytes]) -> np.ndarray:
+    return (np.frombuffer(b"".join(digests), np.uint64)[::2] >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            at = _slots(batch.column(0).to_pylist())
+            yield batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
+
+
+def _bodies(spark: SparkSession, bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, body) of the wanted digests, each once. A bitmap of fixed size (2 MB) first leaves out most others,
+    so that texts which nothing asks for aren't shuffled; the join is exact."""
+    rows = wanted.mapInArrow(_marked, "block int, body binary").repartition(MARK_BLOCKS, "block").mapInArrow(_joined_marks, "block int, body binary").collect()
+    bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
+    for r in rows:
+        bits[r["block"]] = np.frombuffer(r["body"], np.uint8)
+    marks = spark.sparkContext.broadcast(bits.reshape(-1))
+    few = bodies.mapInArrow(lambda it: _maybe(it, marks), "digest binary, body binary").groupBy("digest").agg(F.min("body").alias("body"))
+    return few.join(wanted, "digest", "left_semi")
+
+
 def _verify(spark: SparkSession, pairs: DataFrame, bodies: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) as ids of representatives."""
     pairs = staged(spark, pairs.distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = staged(spark, bodies.join(used, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("body")))
+    texts = staged(spark, _bodies(spark, bodies, used))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     true = both.mapInArrow(lambda it: _verified(it, k, percent), "a binary, b binary")
     out = staged(spark, true.join(reps.toDF("a", "i"), "a").join(reps.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b")))
@@ -270,9 +317,9 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     reps = staged(spark, docs.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
 
     posted = bodies.mapInArrow(lambda it: _postings(it, table, k, percent), "token long, size int, pos int, digest binary").repartition(width(spark), "token")
-    several = posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    listed = staged(spark, posted.join(several.hint("shuffle_hash"), "token").dropDuplicates(["token", "digest"]))
-    used = bodies.join(listed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("body"))
+    counted = posted.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1")
+    listed = staged(spark, counted.dropDuplicates(["token", "digest"]))
+    used = _bodies(spark, bodies, listed.select("digest").distinct())
     sketches = staged(spark, used.mapInArrow(lambda it: _sketched(it, k), "digest binary, sketch binary"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("digest"), chunks).cast("int")
