@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingsmith.llm._spark import components, dropped, staged, width
@@ -151,6 +151,28 @@ def _postings(batches: Iterator[pa.RecordBatch], table, k: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(digest, pa.binary())], ["token", "size", "pos", "digest"])
 
 
+def _partnered(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of lists in order of size, the members whose neighbour in size may link with them; each set once a list."""
+    left = None  # the last member, not yet given out
+    ok = False  # whether it goes with the one before it
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        token, size = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+        digest = np.array(rows.column(3).to_pylist(), object)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
+        if not new.all():
+            rows, token, size = rows.filter(pa.array(new)), token[new], size[new]
+        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        keep = np.append(ok, near)[: len(token)]
+        keep[:-1] |= near
+        if len(token) > 1:
+            yield from rows.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
+        left, ok = rows.slice(len(token) - 1), bool(keep[-1])
+    if left is not None and ok:
+        yield from left.to_batches()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.array([zstandard.decompress(x) for x in batch.column(1).to_pylist()], pa.binary())
@@ -317,8 +339,10 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     reps = staged(spark, docs.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
 
     posted = bodies.mapInArrow(lambda it: _postings(it, table, k, percent), "token long, size int, pos int, digest binary").repartition(width(spark), "token")
-    counted = posted.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1")
-    listed = staged(spark, counted.dropDuplicates(["token", "digest"]))
+    dealt = posted.sortWithinPartitions("token", "size", "digest")
+    listed = staged(spark, dealt.mapInArrow(lambda it: _partnered(it, percent), "token long, size int, pos int, digest binary"))
+    long = listed.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST)
+    listed = listed.join(long, "token", "left").withColumn("m", F.coalesce("m", F.lit(0)))
     used = _bodies(spark, bodies, listed.select("digest").distinct())
     sketches = staged(spark, used.mapInArrow(lambda it: _sketched(it, k), "digest binary, sketch binary"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
