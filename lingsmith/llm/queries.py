@@ -19,6 +19,12 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lingsmith.llm.nndescent import links
+
+    return links(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lingsmith.llm.packing import pack
 
@@ -31,6 +37,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lingsmith.llm.suffixes import dedup
+
+    return dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lingsmith.llm.toxicity import score
 
@@ -63,6 +75,6 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(spark, table(spark, sf_dir, "documents"), _path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op3_best_fit_packing, op4_ngram_jaccard_join, op6_toxicity_ftrl, op7_line_dedup, op8_source_mixing, op9_fingerprints, op10_wavelet_tokens)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_embedding_nn_descent, op3_best_fit_packing, op4_ngram_jaccard_join, op5_bwt_dedup, op6_toxicity_ftrl, op7_line_dedup, op8_source_mixing, op9_fingerprints, op10_wavelet_tokens)}
 
 ORACLES: dict[str, str] = {}
