@@ -64,7 +64,17 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     low = sliding(h, w, np.minimum)
     reach = sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, np.maximum)
     at = np.flatnonzero(reach == h)
-    return at, h[at]
+    h = h[at]
+    if (h[1:] == h[:-1]).any():
+        # of equal anchors in a row those go that lie between others less than a run apart: each run keeps one
+        keep, kept = [], -(10**9)
+        for i, p in enumerate(at.tolist()):
+            if i + 1 < len(at) and h[i] == h[i + 1] and i and h[i] == h[i - 1] and int(at[i + 1]) - kept <= w:
+                continue
+            keep.append(i)
+            kept = p
+        at, h = at[keep], h[keep]
+    return at, h
 
 
 def region(at: int, n: int, length: int) -> tuple[int, int]:
