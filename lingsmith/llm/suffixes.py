@@ -81,13 +81,19 @@ def region(at: int, n: int, length: int) -> tuple[int, int]:
     return max(0, at + ANCHOR - length), min(n, at + length)
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], ["doc_id", "n", "digest"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "n", "digest", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(t) for t in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["n", "digest", "body"])
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -132,6 +138,12 @@ def _regions(rows):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["anchor", "digest", "start", "text"])
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Stable order of integers below 2**32, by their halves: numpy sorts 16 bits by radix."""
+    low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")] if len(x) and int(x.max()) >> 16 else low
+
+
 class Shard:
     """The sorted suffixes of some regions, as symbol sequences, and their transform.
 
@@ -147,13 +159,15 @@ class Shard:
         h = gram_hashes(data, step)
         ok = left >= step
         sym[ok] = h[np.flatnonzero(ok)]
-        keys = []
-        for r in range(ROUNDS):
-            key = np.zeros(len(data), np.uint64)
-            has = left >= step * (r + 1)
-            key[has] = sym[np.flatnonzero(has) + step * r]
-            keys.append(key)
-        self.order = np.lexsort(keys[::-1])
+        rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)  # 0 for no symbol, if there is such a place
+        rank += int(ok.all())
+        order = np.arange(len(data))
+        for r in range(ROUNDS - 1, -1, -1):
+            key = np.zeros(len(data), np.int64)
+            has = np.flatnonzero(left >= step * (r + 1))
+            key[has] = rank[has + step * r]
+            order = order[_ordered(key[order])]
+        self.order = order
         into = np.arange(len(data)) - np.repeat(first[:-1], self.sizes)
         before = np.zeros(len(data), np.uint64)
         had = np.flatnonzero(into >= step)
@@ -171,18 +185,20 @@ def merged(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(s.order) for s in shards])
     ends = np.array([s.ends for s in shards])
     all_ends = int(ends.sum())
-    z = np.repeat(np.arange(len(shards)), sizes)
+    kind = np.uint16 if len(shards) < 65536 else np.int64
+    z = np.repeat(np.arange(len(shards)).astype(kind), sizes)
     interval = np.zeros(len(z), np.int64)
-    flow = np.concatenate([s.transform for s in shards])
+    symbols = np.concatenate([s.transform for s in shards])
+    flow = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + int(symbols.all())
     for _ in range(ROUNDS):
         rows = np.argsort(z, kind="stable")  # the rows of the shards in turn
-        symbol = np.empty(len(z), np.uint64)
+        symbol = np.empty(len(z), np.int64)
         symbol[rows] = flow
         back = np.flatnonzero(symbol)  # the other rows start a sequence: nothing stands before them
-        deal = back[np.argsort(symbol[back], kind="stable")]
+        deal = back[_ordered(symbol[back])]
         new = np.ones(len(deal), bool)
         new[1:] = (symbol[deal][1:] != symbol[deal][:-1]) | (interval[deal][1:] != interval[deal][:-1])
-        z = np.concatenate([np.repeat(np.arange(len(shards)), ends), z[deal]])
+        z = np.concatenate([np.repeat(np.arange(len(shards)).astype(kind), ends), z[deal]])
         # each end is an interval of its own, so that sequences that have ended equal none
         interval = np.concatenate([np.arange(all_ends), all_ends + np.cumsum(new) - 1])
     same = np.zeros(len(z), bool)
@@ -294,8 +310,8 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(spark: SparkSession, df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = staged(spark, rows.mapInArrow(_packed, "doc_id long, n long, digest binary, body binary"))
-    texts = staged(spark, docs.groupBy("digest").agg(F.min("body").alias("body"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    docs = staged(spark, rows.mapInArrow(_named, "doc_id long, n long, digest binary"))
+    texts = staged(spark, rows.mapInArrow(_packed, "n long, digest binary, body binary").groupBy("digest").agg(F.min("body").alias("body"), F.count("*").alias("copies"), F.first("n").alias("n")))
     places = texts.filter(F.col("n") >= length).select("digest", "body").mapInArrow(lambda it: _anchored(it, length), "anchor long, digest binary, at long, context long")
     # equal regions are one, with the first holder to stand for them; regions without a partner go
     places = staged(spark, places)
