@@ -173,7 +173,7 @@ def m02_sessions(spark, d):
 
 @query("select event_id from (select event_id, event_type, ts, lag(event_type) over w as p, lag(ts) over w as q from events window w as (partition by user_id order by ts, event_id)) where p = event_type and ts - q <= interval 2 minute")
 def m11_continuation(spark, d):
-    e = t(spark, d, "events").withColumn("p", F.lag("event_type").over(keys.BY_USER)).withColumn("gap", keys.gap_us())
+    e = t(spark, d, "events").withColumn("p", F.lag("event_type").over(keys.by_user())).withColumn("gap", keys.gap_us())
     return e.filter((F.col("p") == F.col("event_type")) & (F.col("gap") <= 120_000_000)).select("event_id")
 
 
