@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,18 @@ def words(text: Column) -> Column:
 def swapped(word: Column, at: Column) -> Column:
     """The word with the letters at `at` and after it in each other's place (from 1)."""
     return F.concat(F.expr("substring(word, 1, at - 1)"), F.expr("substring(word, at + 1, 1)"), F.expr("substring(word, at, 1)"), F.expr("substring(word, at + 2)"))
+
+
+def language_code(tag: Column) -> Column:
+    """uk of uk-UA or uk_UA."""
+    return F.lower(F.regexp_extract(tag, "^([^-_]*)", 1))
+
+
+def caps_lock_undone(words: DataFrame, by: list[str]) -> DataFrame:
+    """(…by, pos, word) of rows (…by, pos, w): once a word of five letters shows Caps Lock, such words are put right."""
+    w = F.col("w")
+    so_far = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    on = F.max(w.rlike(r"^\p{Ll}\p{Lu}{4,}$")).over(so_far)
+    turned = F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.expr("substring(w, 2)")))
+    fixed = F.when(F.col("on") & w.rlike(r"^\p{Lu}{2,}$"), F.lower("w")).when(F.col("on") & w.rlike(r"^\p{Ll}\p{Lu}+$"), turned).otherwise(w)
+    return words.withColumn("on", on).select(*by, "pos", fixed.alias("word"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingsmith.functions import phonetic
 from lingsmith.functions import text as X
 
 
@@ -65,3 +66,12 @@ def fuzzy(typed: DataFrame, listed: DataFrame, most: int = 1) -> DataFrame:
     a = deletes(typed).withColumnRenamed("word", "typed")
     both = a.join(deletes(listed), "variant").select("typed", "word").distinct()
     return both.withColumn("dist", F.levenshtein("typed", "word", most)).filter("dist >= 0")
+
+
+def sound_alikes(heard: DataFrame, terms: DataFrame) -> DataFrame:
+    """(heard, term, dist): per heard word the nearest term by sound, then the more frequent, then by name."""
+    a = heard.withColumn("bones", phonetic.skeleton(F.col("key"))).withColumn("end", F.right("key", F.lit(1))).filter("key <> ''").withColumnRenamed("key", "ka")
+    b = terms.withColumn("bones", phonetic.skeleton(F.col("key"))).withColumn("end", F.right("key", F.lit(1))).withColumnRenamed("key", "kb")
+    pairs = a.join(b, ["bones", "end"]).filter(phonetic.close(F.col("ka"), F.col("kb"))).withColumn("dist", F.levenshtein("ka", "kb"))
+    best = F.min(F.struct("dist", (-F.col("n")).alias("m"), "term")).alias("best")
+    return pairs.groupBy("heard").agg(best).select("heard", "best.term", "best.dist")

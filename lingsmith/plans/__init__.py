@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lingsmith.functions import layouts, scripts
 from lingsmith.functions import text as X
 from lingsmith.operators import lexicon as L
+from lingsmith.plans._registry import ORACLES, QUERIES, WORDS as _WORDS, query, t  # noqa: F401
 from lingsmith.sources import lists
 from lingsmith.streaming import keys
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-_WORDS = r"(select lang, lower(w) as word, count(*) as n from (select lang, unnest(regexp_extract_all(text, '\p{L}+')) as w from documents) group by all)"
 _R = {k: v for k, v in scripts.RANGES.items()}
 
 
@@ -243,3 +224,6 @@ def u05_intersection(spark, d):
 def o11_loops_removed(spark, d):
     x = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
     return x.withColumn("p", F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))).filter(~F.col("p").eqNullSafe(F.col("line"))).select("doc_id", "pos", "line")
+
+
+from lingsmith.plans import evaluation, lookups, models, stateful, transforms  # noqa: E402, F401  (each registers its queries)
