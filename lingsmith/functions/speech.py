@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingsmith.functions._let import let
@@ -74,17 +75,16 @@ def one_copy_each(text: str) -> str:
     return " ".join(words)
 
 
-def without_runs(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def collapse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: x if x is None else one_copy_each(x))
+def cleaned(docs: DataFrame, exact: list[str], markers: list[str], column: str = "text") -> DataFrame:
+    """The rows with fillers, loops, a cut-off repeat and repeated runs taken out of a column; null stays null."""
+    kept = F.filter(sentences(F.col(column)), lambda s: ~is_filler(s, exact, markers))
+    joined = docs.withColumn(column, F.array_join(without_cut_off(without_loops(kept)), " "))
 
-    return collapse(text)
+    def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{column: b[column].map(lambda x: one_copy_each(x) if isinstance(x, str) else None)})
 
-
-def cleaned(text: Column, exact: list[str], markers: list[str]) -> Column:
-    kept = F.filter(sentences(text), lambda s: ~is_filler(s, exact, markers))
-    return F.trim(without_runs(F.array_join(without_cut_off(without_loops(kept)), " ")))
+    return joined.mapInPandas(collapse, joined.schema)
 
 
 def spoken_marks(text: Column, phrases: dict[str, str]) -> Column:

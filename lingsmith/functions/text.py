@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingsmith.functions import casing
+
 
 def normalised(text: Column) -> Column:
     """Lower case, letters and digits only, other runs as one blank."""
@@ -34,7 +36,8 @@ def words(text: Column) -> Column:
 
 def swapped(word: Column, at: Column) -> Column:
     """The word with the letters at `at` and after it in each other's place (from 1)."""
-    return F.concat(F.expr("substring(word, 1, at - 1)"), F.expr("substring(word, at + 1, 1)"), F.expr("substring(word, at, 1)"), F.expr("substring(word, at + 2)"))
+    part = lambda first, n: F.substr(word, first, n)
+    return F.concat(part(F.lit(1), at - 1), part(at + 1, F.lit(1)), part(at, F.lit(1)), F.substr(word, at + 2))
 
 
 def language_code(tag: Column) -> Column:
@@ -47,6 +50,6 @@ def caps_lock_undone(words: DataFrame, by: list[str]) -> DataFrame:
     w = F.col("w")
     so_far = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     on = F.max(w.rlike(r"^\p{Ll}\p{Lu}{4,}$")).over(so_far)
-    turned = F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.expr("substring(w, 2)")))
+    turned = F.concat(casing.upper(F.substring("w", 1, 1)), F.lower(F.expr("substring(w, 2)")))
     fixed = F.when(F.col("on") & w.rlike(r"^\p{Lu}{2,}$"), F.lower("w")).when(F.col("on") & w.rlike(r"^\p{Ll}\p{Lu}+$"), turned).otherwise(w)
     return words.withColumn("on", on).select(*by, "pos", fixed.alias("word"))

@@ -75,3 +75,42 @@ def sound_alikes(heard: DataFrame, terms: DataFrame) -> DataFrame:
     pairs = a.join(b, ["bones", "end"]).filter(phonetic.close(F.col("ka"), F.col("kb"))).withColumn("dist", F.levenshtein("ka", "kb"))
     best = F.min(F.struct("dist", (-F.col("n")).alias("m"), "term")).alias("best")
     return pairs.groupBy("heard").agg(best).select("heard", "best.term", "best.dist")
+
+
+def both_ways(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:
+    """(lang, word, n, back, fit): the fit of words and of the same words read backwards."""
+    g = grams(counts.withColumn("w", F.log1p("n")))
+    tri = g.groupBy("lang", "tri").agg(F.sum("w").alias("t"))
+    ctx = g.groupBy("lang", "ctx").agg(F.sum("w").alias("c"))
+    letters = counts.select("lang", F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").groupBy("lang").agg((F.count_distinct("ch") + 1).alias("size"))
+    ways = F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("word").alias("s")), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("s"))))
+    read = counts.select("lang", F.col("word").alias("listed"), "n", ways.alias("r")).select("lang", "listed", "n", "r.back", F.col("r.s").alias("word"))
+    p = F.log10((F.coalesce("t", F.lit(0.0)) + smoothing) / (F.coalesce("c", F.lit(0.0)) + smoothing * F.col("size")))
+    scored = grams(read).join(tri, ["lang", "tri"], "left").join(ctx, ["lang", "ctx"], "left").join(F.broadcast(letters), "lang")
+    return scored.groupBy("lang", F.col("listed").alias("word"), "back").agg(F.first("n").alias("n"), F.round(F.avg(p), 6).alias("fit"))
+
+
+def weighted_medians(fits: DataFrame) -> DataFrame:
+    """(lang, back, median): the first fit at which half of the weight is reached; weights are merged by fit first."""
+    merged = fits.groupBy("lang", "back", "fit").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang", "back").orderBy("fit"))
+    total = F.sum("n").over(Window.partitionBy("lang", "back"))
+    return merged.withColumn("upto", upto).withColumn("total", total).filter(F.col("upto") >= F.col("total") / 2).groupBy("lang", "back").agg(F.min("fit").alias("median"))
+
+
+def calibration(medians: DataFrame, spread: float = 0.1) -> DataFrame:
+    """(lang, hi, lo): medians of words and of reversed words, where they lie far enough apart."""
+    both = medians.groupBy("lang").agg(F.max(F.when(~F.col("back"), F.col("median"))).alias("hi"), F.max(F.when(F.col("back"), F.col("median"))).alias("lo"))
+    return both.filter(F.col("hi") - F.col("lo") >= spread)
+
+
+def picked(counts: DataFrame, most: int, step: int = 7919, first: int = 13) -> DataFrame:
+    """(i, word): the words in whose stretch of the cumulative counts the places (i * step + first) mod total fall.
+
+    Each word works out for itself which picks are its own, so no pairs of words and picks are formed.
+    """
+    order = Window.orderBy(F.desc("n"), "word")
+    upto = counts.withColumn("lo", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    places = F.expr(f"filter(sequence(0L, {most - 1}L), i -> (i * {step} + {first}) % total >= lo and (i * {step} + {first}) % total < lo + n)")
+    return upto.join(F.broadcast(total)).select(F.explode(places).alias("i"), "word")

@@ -23,3 +23,42 @@ def word_forms(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.from_json("value", "word string, forms array<struct<form: string, tags: array<string>>>").alias("j")).select("j.*")
     kept = rows.select(F.explode("forms").alias("f")).filter(~F.coalesce(F.arrays_overlap("f.tags", F.array(*map(F.lit, out))), F.lit(False))).select(F.col("f.form").alias("form"))
     return rows.select(F.col("word").alias("form")).union(kept).filter("form is not null").distinct()
+
+
+def parsed_last(lines: DataFrame) -> DataFrame:
+    """(word, n): the first field in small letters, the last as a count (null if it is none)."""
+    f = F.split("value", "[ \t]+")
+    return lines.filter(F.size(f) >= 2).select(F.lower(f[0]).alias("word"), F.element_at(f, -1).try_cast("bigint").alias("n"))
+
+
+def digits_last(lines: DataFrame) -> DataFrame:
+    """Lines whose last field is digits only."""
+    return lines.filter(F.col("value").rlike("(^|[ \t])[0-9]+$"))
+
+
+def tab_column(lines: DataFrame, at: int) -> DataFrame:
+    """(field): a column (from 0) of lines of two tab-separated fields or more."""
+    f = F.split("value", "\t", -1)
+    return lines.filter(F.size(f) >= 2).select(F.get(f, F.lit(at)).alias("field"))
+
+
+def data_lines(lines: DataFrame) -> DataFrame:
+    """Trimmed lines that are neither empty nor comments."""
+    return lines.withColumn("value", F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", "")).filter("value <> '' and not startswith(value, '#')")
+
+
+def metrics(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(…by, metric, value): entries of a JSON object of numbers; nulls and other values are left out."""
+    found = rows.select(*by, F.explode(F.from_json(column, "map<string, string>")).alias("metric", "value"))
+    return found.withColumn("value", F.col("value").try_cast("double")).filter("value is not null")
+
+
+def as_line(word: str, n: str):
+    return F.concat_ws(" ", word, F.col(n).cast("string"))
+
+
+def write_forms(words: DataFrame, path: str) -> None:
+    """Distinct forms in ordinal order as text files; the count is written beside them (path + '.count')."""
+    forms = words.select("word").distinct()
+    forms.sort("word").select(F.col("word").alias("value")).write.mode("overwrite").text(path)
+    forms.agg(F.count("*").cast("string").alias("value")).write.mode("overwrite").text(path + ".count")
