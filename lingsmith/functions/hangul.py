@@ -21,7 +21,7 @@ def decomposed(text: Column) -> Column:
     """Each syllable as its letters in the order of the keys; pairs are taken apart."""
 
     def letters(c: Column) -> Column:
-        at = F.unicode(c) - 0xAC00
+        at = F.ascii(c) - 0xAC00
         pick = lambda of, i: F.element_at(F.array(*map(F.lit, of)), i.cast("int") + 1)
         syllable = F.concat(pick(LEADS, F.floor(at / 588)), pick(VOWELS, F.floor((at % 588) / 28)), pick(FINALS, at % 28))
         return F.when(c.rlike(r"[\x{AC00}-\x{D7A3}]"), syllable).otherwise(c)

@@ -47,7 +47,7 @@ def m09_adaptive_loudness(spark, d):
     return state.loud(x, "user_id", ["ts", "event_id"], "level").select("event_id", "loud")
 
 
-@query("select user_id, strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M') as hour, round(sqrt(avg(value * value)), 6) as rms from events group by all qualify row_number() over (partition by user_id order by rms desc, hour) = 1")
+@query("select * from (select user_id, strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M') as hour, round(sqrt(avg(value * value)), 6) as rms from events group by all) qualify row_number() over (partition by user_id order by rms desc, hour) = 1")
 def m10_loudest_window(spark, d):
     """Each user's tumbling hour with the greatest root mean square."""
     rms = F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6)

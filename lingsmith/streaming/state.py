@@ -1,10 +1,7 @@
-"""Stateful operators over a user's events in order: batch forms as windows, and a typing buffer over a stream."""
+"""Stateful operators over a user's events in order, in their batch forms."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +35,8 @@ def typed_buffers(events: DataFrame, idle_s: int, newline: str, backspace: str)
 def loud(levels: DataFrame, by: str, order: list[str], level: str, decay: float = 0.993, floor: float = 0.01, share: float = 0.2) -> DataFrame:
     """loud: at least the floor and a share of the recent peak, which decays by a factor each row.
 
-    peak_i is the largest level_j * decay^(i-j), so it is a running maximum of level_j / decay^j times decay^i; rows are
-    counted in blocks and logarithms are taken so that powers don't overflow.
+    peak_i is the largest level_j * decay^(i-j), so it is a running maximum of level_j / decay^j times decay^i; it is
+    worked out in logarithms so that powers don't overflow.
     """
     w = Window.partitionBy(by).orderBy(*order)
     i = F.row_number().over(w)
@@ -52,33 +49,3 @@ def loud(levels: DataFrame, by: str, order: list[str], level: str, decay: float
 def watchdog(want: Column, running: Column, granted: Column, gap_ms: Column, period_ms: int) -> Column:
     """What to do with a capture: stop it, restart it after a sleep (a gap over three periods), start it, or nothing."""
     return F.when(running & (~want | ~granted), "stop").when(running & (gap_ms > 3 * period_ms), "restart").when(~running & want & granted, "start").otherwise("none")
-
-
-def buffer_stream(events: DataFrame, idle: str, newline: str, backspace: str) -> DataFrame:
-    """(user_id, typed) of each line as it ends, over a stream of (user_id, ts, event_id, event_type): state per user.
-
-    Events of a batch are taken in order of ts and event_id; a pause of `idle` of processing time drops the line.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        line = state.get[0] if state.exists else ""
-        done = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            if kind == newline:
-                done.append(line)
-                line = ""
-            else:
-                line = line[:-1] if kind == backspace else line + kind[:1]
-        state.update((line,))
-        state.setTimeoutDuration(idle_ms)
-        if done:
-            yield pd.DataFrame({"user_id": [key[0]] * len(done), "typed": done})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, typed string", "line string", "append", GroupStateTimeout.ProcessingTimeTimeout)
