@@ -2,7 +2,8 @@
 
 Vectors are compared within a label only. Each round deals a label's vectors to leaves by random hyperplanes; in a
 leaf a neighbour graph is refined through the neighbours of neighbours, forward and backward, until it settles;
-lists whose every neighbour is within the threshold are saturated and enlarged. Edges that meet the threshold, in
+lists whose every neighbour is within the threshold are saturated and enlarged, and vectors whose lists stay so are
+compared with their whole leaf. Edges that meet the threshold, in
 double precision, are kept and joined over the rounds; a sample of vectors is audited against all others, and
 rounds are added until the audit finds the recall asked for. Last, the vectors of each component are compared in
 blocks, so that counts of links inside one are exact.
@@ -134,7 +135,17 @@ def _edges(rows: list[tuple], least: float, k: int, seed: int) -> Iterator[pa.Re
     for a, b in zip(i[ok].tolist(), j[ok].tolist()):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    tied = [(rows[a][3], rows[r][3]) for a in range(n) if (r := find(a)) != a]
+    root = np.array([find(a) for a in range(n)])
+    # a list full of neighbours within the threshold may leave some out: its vector is compared with the whole leaf
+    full = np.flatnonzero(far.min(1) >= least - 1e-4) if far.shape[1] < n - 1 else np.arange(0)
+    for lo in range(0, len(full), 256):
+        hit = x[full[lo : lo + 256]] @ x.T >= least
+        hit[np.arange(len(hit)), full[lo : lo + 256]] = True
+        for row in hit:
+            linked = np.unique(root[row])
+            if len(linked) > 1:
+                root[np.isin(root, linked)] = linked[0]
+    tied = [(rows[a][3], rows[r][3]) for a, r in enumerate(root.tolist()) if r != a]
     if tied:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in tied], pa.int64()), pa.array([b for _, b in tied], pa.int64())], ["a", "b"])
 

@@ -1,5 +1,7 @@
 """Embedding links against comparing all vectors."""
 
+import math
+
 import numpy as np
 import pyarrow.parquet as pq
 
@@ -44,3 +46,12 @@ def test_recall_of_lists():
     x /= np.linalg.norm(x, axis=1)[:, None]
     near, _ = nndescent.nn_descent(x.astype(np.float32), 16, rng, 0.93)
     assert np.mean([k + 300 in near[k] for k in range(300)]) > 0.95
+
+
+def test_two_groups_of_copies(spark):
+    u, v = np.eye(8)[0], 0.95 * np.eye(8)[0] + math.sqrt(1 - 0.95**2) * np.eye(8)[1]
+    rng = np.random.default_rng(2)
+    rows = [(k, 1, (u if k < 100 else v).tolist()) for k in range(200)]
+    rows += [(k, 2, ((u if k < 400 else v) + 1e-4 * rng.normal(size=8)).tolist()) for k in range(300, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted(map(tuple, nndescent.links(spark, df).collect())) == plain(rows, 0.93)
