@@ -1,12 +1,14 @@
 """Embedding near-dedup by NN-descent.
 
-Vectors are compared within a label only. Each round deals a label's vectors to leaves by random hyperplanes; in a
-leaf a neighbour graph is refined through the neighbours of neighbours, forward and backward, until it settles;
+Vectors are compared within a label only; equal ones are one vector with a multiplicity. Each round deals a label's
+vectors to leaves by random hyperplanes, as many as its size asks for; in a leaf a neighbour graph is refined through the neighbours of neighbours, forward and backward, until it settles;
 lists whose every neighbour is within the threshold are saturated and enlarged, and vectors whose lists stay so are
 compared with their whole leaf. Edges that meet the threshold, in
-double precision, are kept and joined over the rounds; a sample of vectors is audited against all others, and
-rounds are added until the audit finds the recall asked for. Last, the vectors of each component are compared in
-blocks, so that counts of links inside one are exact.
+double precision, are kept and joined over the rounds, of which a label has so many that a pair at the threshold meets
+with the recall asked for. A sample of vectors is audited against all others; rounds are added until the mean over
+vectors of the share of links found is the recall asked for, and if it isn't after the last, all vectors of a label
+are compared in blocks. Last, the vectors of each component are compared in blocks, so that counts of links inside one
+are exact.
 
 Defined cases: null, zero and non-finite vectors, and vectors without a label, link with nothing; vectors of
 different lengths don't link; equal vectors link; rows with the same id count as linked; an empty table gives no
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from lingsmith.llm._spark import components, staged, width
 
 LEAF, LONG_LEAF = 1024, 4096
-CHUNK = 2048
+#: Vectors of a chunk, and the base in which a cell's number holds those of its two chunks.
+CHUNK, CELLS = 2048, 1_000_000
 #: Vectors of an audit, at most, and rounds before the first and before the last.
 AUDITED, ROUNDS, MOST_ROUNDS = 400, 4, 16
 
@@ -89,15 +92,17 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())], ["id", "label", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], seed: int, bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
+    most = max(bits.values(), default=0)
     for batch in batches:
         leaf = []
-        for v in batch.column(2).to_pylist():
+        for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             x = np.frombuffer(v)
             if len(x) not in planes:
-                planes[len(x)] = np.random.default_rng((seed, len(x))).normal(size=(bits, len(x)))
-            leaf.append(int(((planes[len(x)] @ x > 0) * (1 << np.arange(bits))).sum()) * 100_003 + len(x))
+                planes[len(x)] = np.random.default_rng((seed, len(x))).normal(size=(most, len(x)))
+            own = bits.get(label, 0)
+            leaf.append(int(((planes[len(x)][:own] @ x > 0) * (1 << np.arange(own))).sum()) * 100_003 + len(x))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], ["id", "label", "v", "leaf"])
 
 
@@ -150,74 +155,125 @@ def _edges(rows: list[tuple], least: float, k: int, seed: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in tied], pa.int64()), pa.array([b for _, b in tied], pa.int64())], ["a", "b"])
 
 
+def _crossed(rows: list[tuple], least: float) -> Iterator[pa.RecordBatch]:
+    """Edges of a cell (two chunks of a group, or one with itself), by comparing all."""
+    x = np.stack([np.frombuffer(r[5]) for r in rows])
+    ids, chunk = [r[4] for r in rows], np.array([r[6] for r in rows])
+    lo, hi = divmod(rows[0][3], CELLS)
+    one, two = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+    root = np.arange(len(rows))
+    for a in range(0, len(one), 256):
+        own = one[a : a + 256]
+        for i, row in zip(own, x[own] @ x[two].T >= least):
+            linked = np.unique(root[np.append(two[row], i)])
+            if len(linked) > 1:
+                root[np.isin(root, linked)] = linked[0]
+    tied = [(ids[a], ids[r]) for a, r in enumerate(root.tolist()) if r != a]
+    if tied:
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in tied], pa.int64()), pa.array([b for _, b in tied], pa.int64())], ["a", "b"])
+
+
 def _counts(rows: list[tuple], least: float) -> Iterator[pa.RecordBatch]:
-    """Links of each vector of a cell (two chunks of a component, or one with itself)."""
-    x = np.stack([np.frombuffer(r[4]) for r in rows])
-    ids, chunk, label = [r[3] for r in rows], np.array([r[2] for r in rows]), rows[0][5]
-    lo, hi = divmod(rows[0][1], 100_000)
-    total = np.zeros(len(rows), np.int64)
+    """Links of each vector of a cell, to rows and to vectors other than itself."""
+    x = np.stack([np.frombuffer(r[5]) for r in rows])
+    rep, chunk, m = [r[4] for r in rows], np.array([r[6] for r in rows]), np.array([r[7] for r in rows], np.int64)
+    lo, hi = divmod(rows[0][3], CELLS)
+    total, others = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     parts = [np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)]
     for a in range(0, len(parts[0]), 512):
         own = parts[0][a : a + 512]
         hit = x[own] @ x[parts[1]].T >= least
-        total[own] += hit.sum(1)
+        if lo == hi:
+            hit[np.arange(len(own)), np.arange(a, a + len(own))] = False
+        total[own] += hit @ m[parts[1]]
+        others[own] += hit.sum(1)
         if lo != hi:
-            total[parts[1]] += hit.sum(0)
+            total[parts[1]] += m[own] @ hit
+            others[parts[1]] += hit.sum(0)
     if lo == hi:
-        total[parts[0]] -= (np.einsum("nd,nd->n", x[parts[0]], x[parts[0]]) >= least).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([label] * len(ids), pa.int64()), pa.array(total)], ["id", "label", "n"])
+        total[parts[0]] += m[parts[0]] - 1
+    yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(total), pa.array(others)], ["rep", "n", "others"])
 
 
 def _audit(batches: Iterator[pa.RecordBatch], asked: list[tuple[int, int, bytes]], least: float) -> Iterator[pa.RecordBatch]:
-    """For each audited vector, the links found in this task's rows by comparing all."""
+    """For each audited vector, the vectors it links with in this task's rows by comparing all, itself left out."""
     by: dict[tuple, tuple[list[int], np.ndarray]] = {}
     for q, label, v in asked:
         by.setdefault((label, len(v)), ([], []))[0].append(q)
         by[(label, len(v))][1].append(np.frombuffer(v))
     found: dict[int, int] = {}
     for batch in batches:
-        groups: dict[tuple, list[bytes]] = {}
-        for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            groups.setdefault((label, len(v)), []).append(v)
-        for key, vs in groups.items():
+        groups: dict[tuple, list[tuple[int, bytes]]] = {}
+        for rep, label, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            groups.setdefault((label, len(v)), []).append((rep, v))
+        for key, own in groups.items():
             if key in by:
-                hit = np.stack(by[key][1]) @ np.stack([np.frombuffer(v) for v in vs]).T >= least
+                hit = np.stack(by[key][1]) @ np.stack([np.frombuffer(v) for _, v in own]).T >= least
+                hit &= np.array(by[key][0])[:, None] != np.array([r for r, _ in own])
                 for q, n in zip(by[key][0], hit.sum(1).tolist()):
                     found[q] = found.get(q, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["id", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["rep", "n"])
+
+
+def _rounds(bits: int, least: float, recall: float) -> int:
+    """Rounds after which a pair at the threshold has shared a leaf of so many hyperplanes with probability `recall`."""
+    met = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return max(ROUNDS, math.ceil(math.log(max(1e-9, 1 - recall)) / math.log1p(-met))) if met < 1 else ROUNDS
+
+
+def _cells(spark: SparkSession, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (…three columns `by`, id, v, m) dealt to cells: groups are cut in chunks of CHUNK and each two chunks meet."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("held"))
+    chunks = F.ceil(F.col("held") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    cells = F.array_distinct(F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * F.lit(CELLS).cast("long") + F.greatest(own, c)))
+    spread = rows.join(sizes, by).select(*by, F.explode(cells).alias("cell"), "id", "v", own.alias("chunk"), "m")
+    return spread.repartition(width(spark), *by, "cell").sortWithinPartitions(*by, "cell", "id")
 
 
 def links(spark: SparkSession, df: DataFrame, least: float = 0.93, k: int = 16, recall: float = 0.995, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     unit = staged(spark, rows.filter("id is not null and label is not null and v is not null").mapInArrow(_unit, "id long, label long, v binary"))
-    largest = unit.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    bits = max(0, math.ceil(math.log2(largest / LEAF)))
-    asked = [(r["id"], r["label"], bytes(r["v"])) for r in unit.filter("id % 20 = 0").orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()]
-    true = {r["id"]: r["n"] - 1 for r in unit.mapInArrow(lambda it: _audit(it, asked, least), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    edges = None
-    for t in range(MOST_ROUNDS):
-        leaved = unit.mapInArrow(lambda it, t=t: _leaves(it, t, bits), "id long, label long, v binary, leaf long")
-        long = leaved.groupBy("label", "leaf").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LEAF)
-        cut = F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(t)), F.ceil(F.col("m") / CHUNK).cast("int")).cast("int"))
-        dealt = leaved.join(long, ["label", "leaf"], "left").select("label", "leaf", cut.alias("part"), "id", "v")
-        dealt = dealt.repartition(width(spark), "label", "leaf", "part").sortWithinPartitions("label", "leaf", "part", "id")
-        new = staged(spark, dealt.mapInArrow(lambda it, t=t: _by_group(it, 3, lambda g: _edges(g, least, k, t)), "a long, b long"))
-        edges = new if edges is None else edges.union(new)
-        if t + 1 < ROUNDS or t % 2 == 0:
+    same = unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("m"))
+    reps = staged(spark, same.select(F.monotonically_increasing_id().alias("rep"), "label", "v", "id", "m"))
+    member = staged(spark, unit.join(reps.select("label", "v", "rep", F.col("id").alias("first")), ["label", "v"]).select("id", "rep", "first"))
+    large = reps.groupBy("label").count().filter(F.col("count") > LEAF).collect()
+    bits = {r["label"]: math.ceil(math.log2(r["count"] / LEAF)) for r in large}
+    most = max(MOST_ROUNDS, _rounds(max(bits.values(), default=0), least, recall))
+    asked = [(r["rep"], r["label"], bytes(r["v"])) for r in reps.orderBy(F.xxhash64("v", "label"), "rep").limit(AUDITED).collect()]
+    true = {r["rep"]: r["n"] for r in reps.select("rep", "label", "v").mapInArrow(lambda it: _audit(it, asked, least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).filter("n > 0").collect()}
+    sample = spark.createDataFrame([(q,) for q in true] or [(-1,)], "rep long")
+    edges = member.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    nodes = reps.select("id", "label", "v")
+    # a round beyond those that a label's size asks for is there for labels that ask for more, or after an audit
+    first = _rounds(max(bits.values(), default=0), least, recall)
+    for t in range(most + 1):
+        if t < most:
+            asking = [label for label, b in bits.items() if t < _rounds(b, least, recall)]
+            dealt = nodes if t < ROUNDS or t >= first else nodes.filter(F.col("label").isin(asking))
+            leaved = dealt.mapInArrow(lambda it, t=t: _leaves(it, t, bits), "id long, label long, v binary, leaf long")
+            leaved = leaved.withColumn("size", F.octet_length("v")).withColumn("m", F.lit(1))
+            long = leaved.groupBy("label", "leaf", "size").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_LEAF)
+            short = leaved.join(long, ["label", "leaf", "size"], "left_anti").select("label", "leaf", "size", "id", "v")
+            short = short.repartition(width(spark), "label", "leaf", "size").sortWithinPartitions("label", "leaf", "size", "id")
+            new = staged(spark, short.mapInArrow(lambda it, t=t: _by_group(it, 3, lambda g: _edges(g, least, k, t)), "a long, b long"))
+            edges = edges.union(new)
+            wide = leaved.join(long, ["label", "leaf", "size"], "left_semi")
+        else:
+            # still short after the last round: all vectors of a label
+            wide = nodes.select("label", F.lit(0).alias("leaf"), F.octet_length("v").alias("size"), "id", "v", F.lit(1).alias("m"))
+        if t == most or long.limit(1).count():
+            edges = edges.union(staged(spark, _cells(spark, wide, ["label", "leaf", "size"]).mapInArrow(lambda it: _by_group(it, 4, lambda g: _crossed(g, least)), "a long, b long")))
+        if t < most and (t + 1 < first or (t - first) % 2 == 0 and t >= first and t + 1 < most):
             continue
         found = components(spark, edges)
-        member = unit.join(found, "id")
-        big = found.groupBy("component").agg(F.count("*").alias("m"))
-        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("id"), chunks).cast("int")
-        cells = F.array_distinct(F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * 100_000 + F.greatest(own, c)))
-        spread = member.join(big, "component").select("component", F.explode(cells).alias("cell"), own.alias("chunk"), "id", "v", "label")
-        spread = spread.repartition(width(spark), "component", "cell").sortWithinPartitions("component", "cell", "id")
-        counts = staged(spark, spread.mapInArrow(lambda it: _by_group(it, 2, lambda g: _counts(g, least)), "id long, label long, n long").groupBy("id").agg(F.sum("n").alias("n_links")))
-        got = {r["id"]: r["n_links"] for r in counts.join(F.broadcast(spark.createDataFrame([(q,) for q, _, _ in asked] or [(-1,)], "id long")), "id").collect()}
-        if sum(min(got.get(q, 0), n) for q, n in true.items()) >= recall * sum(true.values()):
+        inside = reps.join(found, "id").select("component", "label", F.octet_length("v").alias("size"), F.col("rep").alias("id"), "v", "m")
+        counts = staged(spark, _cells(spark, inside, ["component", "label", "size"]).mapInArrow(lambda it: _by_group(it, 4, lambda g: _counts(g, least)), "rep long, n long, others long").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("others").alias("others")))
+        got = {r["rep"]: r["others"] for r in counts.join(F.broadcast(sample), "rep").collect()}
+        if sum(min(got.get(q, 0), n) / n for q, n in true.items()) >= recall * len(true):
             break
-    out = df.select(F.col(id_col).cast("long").alias("vec_id")).join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(counts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    links_of = member.join(counts, "rep").groupBy("id").agg(F.sum("n").alias("n_links"))
+    out = df.select(F.col(id_col).cast("long").alias("vec_id")).join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(links_of.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -55,3 +55,16 @@ def test_two_groups_of_copies(spark):
     rows += [(k, 2, ((u if k < 400 else v) + 1e-4 * rng.normal(size=8)).tolist()) for k in range(300, 500)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, nndescent.links(spark, df).collect())) == plain(rows, 0.93)
+
+
+def test_pairs_beside_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.normal(size=(3000, 32))
+    off -= (off * x).sum(1)[:, None] * x
+    y = 0.935 * x + math.sqrt(1 - 0.935**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    rows = [(k, 1, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))] + [(k, 1, [1.0] + [0.0] * 31) for k in range(6000, 9000)]
+    got = {r.vec_id: r.n_links for r in nndescent.links(spark, spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(8)).collect()}
+    assert sum(got[k] >= 1 for k in range(6000)) >= 0.995 * 6000
+    assert all(got[k] >= 2999 for k in range(6000, 9000))
