@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A later document is paired with the earliest holder of each line that it shares: the rarer a line, the fewer
-documents it brings together, and a line that a third of all documents hold still gives each of them one partner
-only. Each pair is aligned by patience diff, and the aligned common blocks are deleted from the later document.
+A later document is paired with the earliest holder of each line that it shares, then, by the lines that it still has,
+with the next holders before it, twice as many each time, until none is left: a line that a third of all documents
+hold gives most of them one partner only. Each pair is aligned by patience diff, and the aligned common blocks are
+deleted from the later document.
 
 Documents are ordered by id (null first), then by a hash of their text. Defined cases: null and empty texts stay as
 they are; rows with the same id and text are one document and keep the same lines; blank lines are compared with
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lingsmith.llm._spark import staged
@@ -102,6 +103,16 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "tie", "gone"])
 
 
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of lines that a document still has."""
+    for batch in batches:
+        left = []
+        for lines, keys, gone in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            own = np.frombuffer(lines, np.uint64).view(np.int64)
+            left.append(np.intersect1d(np.delete(own, gone or []), np.array(keys, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.int64()))], ["doc", "tie", "keys"])
+
+
 def _key(id_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64("text").alias("__tie")]
 
@@ -114,9 +125,32 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id")
     owners = held.groupBy("key").agg(F.min("who").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
     pairs = held.join(owners, "key").filter("who <> owner").select("who", "owner").distinct()
     texts = lined.select(F.struct("doc", "tie").alias("who"), "lines").dropDuplicates(["who"])
-    both = pairs.join(texts, "who").join(texts.select(F.col("who").alias("owner"), F.col("lines").alias("first")), "owner")
-    gone = both.select("who.doc", "who.tie", "lines", "first").mapInArrow(_aligned, "doc long, tie long, gone array<int>")
-    return gone.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts, "who").join(texts.select(F.col("who").alias("owner"), F.col("lines").alias("first")), "owner")
+        return staged(spark, both.select("who.doc", "who.tie", "lines", "first").mapInArrow(_aligned, "doc long, tie long, gone array<int>"))
+
+    def merged(gone: DataFrame) -> DataFrame:
+        return gone.groupBy("doc", "tie").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+    def still(gone: DataFrame, rows: DataFrame) -> DataFrame:
+        own = rows.join(merged(gone), ["doc", "tie"], "left").select("doc", "tie", "lines", "keys", "gone")
+        return own.mapInArrow(_left, "doc long, tie long, keys array<long>").select(F.struct("doc", "tie").alias("who"), F.explode("keys").alias("key"))
+
+    gone = aligned(pairs)
+    # lines left in a document that isn't their first holder; only their holders are numbered
+    later = staged(spark, still(gone, lined.dropDuplicates(["doc", "tie"])).join(owners, "key").filter("who <> owner").select("who", "key"))
+    if later.limit(1).count():
+        place = F.row_number().over(Window.partitionBy("key").orderBy("who")) - 1
+        holders = staged(spark, held.join(later.select("key").distinct(), "key", "left_semi").withColumn("place", place))
+        active, lo, hi = staged(spark, holders.join(later, ["who", "key"], "left_semi").filter("place > 1")), 1, 2
+        while active.limit(1).count():
+            others = holders.filter((F.col("place") >= lo) & (F.col("place") < hi)).select("key", F.col("who").alias("owner"), F.col("place").alias("before"))
+            gone = gone.union(aligned(active.join(others, "key").filter("before < place").select("who", "owner").distinct()))
+            docs_left = lined.dropDuplicates(["doc", "tie"]).join(active.select("who.doc", "who.tie").distinct(), ["doc", "tie"], "left_semi")
+            active = staged(spark, active.filter(F.col("place") > hi).join(still(gone, docs_left), ["who", "key"], "left_semi"))
+            lo, hi = hi, 2 * hi
+    return merged(gone).select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -103,3 +103,10 @@ def test_mixing_odd(spark):
     assert set(got) == {r[0] for r in ODD} and got[2] >= 2
     assert sorted(out.columns) == sorted(df.columns + ["place"])
     assert mixing.mix(spark, df.limit(0)).count() == 0
+
+
+def test_next_holders(spark):
+    a, b, c = "line a of the block", "line b of the block", "line c of the block"
+    texts = [[c, b, a], [a, b, c, "u alone in its text"], [a, b, c, "v alone in its text"]]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(spark, df).collect()}[2] == "v alone in its text"
