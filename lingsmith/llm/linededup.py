@@ -2,8 +2,8 @@
 
 A later document is paired with the earliest holder of each line that it shares, then, by the lines that it still has,
 with the next holders before it, twice as many each time, until none is left: a line that a third of all documents
-hold gives most of them one partner only. Each pair is aligned by patience diff, and the aligned common blocks are
-deleted from the later document.
+hold gives most of them one partner only. Each pair is aligned by patience diff, stretches without a line unique
+on both sides by a longest common subsequence, and the aligned common blocks are deleted from the later document.
 
 Documents are ordered by id (null first), then by a hash of their text. Defined cases: null and empty texts stay as
 they are; rows with the same id and text are one document and keep the same lines; blank lines are compared with
@@ -44,6 +44,25 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _longest(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of a stretch without blank lines, by Hunt and Szymanski; chains share their starts."""
+    places: dict[int, list[int]] = {}
+    for j in range(b1 - 1, b0 - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    tops: list[int] = []
+    ends: list[tuple] = []
+    for i in range(a0, a1):
+        for j in places.get(a[i], ()) if a[i] else ():
+            at = bisect_left(tops, j)
+            if at == len(tops) or tops[at] != j:
+                tops[at : at + 1], ends[at : at + 1] = [j], [(i, j, ends[at - 1] if at else None)]
+    out, node = [], ends[-1] if ends else None
+    while node:
+        out.append(node[:2])
+        node = node[2]
+    return out[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal lines; 0 stands for a blank line, which aligns with nothing.
 
@@ -65,7 +84,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         na, nb = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {x: i for i, x in enumerate(b[b0:b1], b0) if nb[x] == 1}
         chain = _increasing([(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x and na[x] == 1 and x in place])
-        for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)] if chain else []):
+        if not chain:
+            # no line is unique on both sides
+            out += _longest(a, b, a0, a1, b0, b1)
+            continue
+        for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)]):
             todo.append((i + 1, k, j + 1, m))
         out += chain
     return sorted({(i, j) for i, j in out if a[i]})

@@ -110,3 +110,9 @@ def test_next_holders(spark):
     texts = [[c, b, a], [a, b, c, "u alone in its text"], [a, b, c, "v alone in its text"]]
     df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.dedup_lines(spark, df).collect()}[2] == "v alone in its text"
+
+
+def test_patience_of_repeated_lines():
+    assert linededup.patience([1, 2, 3, 2, 3, 4], [5, 2, 3, 2, 3, 6]) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert linededup.patience([7, 2, 0, 2, 8], [9, 2, 5]) in ([(1, 1)], [(3, 1)])
+    assert len(linededup.patience([1, 3] * 50 + [2], [5] + [3, 1] * 50)) == 99
