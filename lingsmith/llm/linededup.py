@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-A later document is paired with the earliest holder of each line that it shares, then, by the lines that it still has,
-with the next holders before it, twice as many each time, until none is left: a line that a third of all documents
-hold gives most of them one partner only. Each pair is aligned by patience diff, stretches without a line unique
-on both sides by a longest common subsequence, and the aligned common blocks are deleted from the later document.
+Documents overlap where they share a run of adjoining lines, blank ones aside: the shortest run from a line that has
+LEAST bytes, and the shortest of two lines or more that has. Any common block of LEAST bytes holds such a run. A run
+of RARE holders at most pairs all of them; a commoner one pairs each holder with the earliest, so a line that a third of
+all documents hold gives most of them one partner. Each pair is aligned by patience diff, stretches without a line
+unique on both sides by a longest common subsequence, and the aligned common blocks of LEAST bytes or more are deleted
+from the later document.
 
 Documents are ordered by id (null first), then by a hash of their text. Defined cases: null and empty texts stay as
-they are; rows with the same id and text are one document and keep the same lines; blank lines are compared with
-nothing and go only with a whole document; an empty table gives no rows; other columns are kept.
+they are, and so do texts with less than LEAST bytes; rows with the same id and text are one document and keep the same
+lines; blank lines are compared with nothing and go only with a whole document; an empty table gives no rows; other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingsmith.llm._spark import staged
+from lingsmith.llm._spark import dropped, staged
 
-#: Bytes that a line needs to pair documents; shorter ones go only within a block of aligned lines.
-LEAST = 10
+#: Bytes of a common block; holders of a run that all pair with each other; partners of a document in one task.
+LEAST, RARE, FOLLOWERS = 10, 4, 1024
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -99,43 +102,67 @@ def line_hashes(text: str) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(s) | 1 if (s := x.strip()) else 0 for x in text.split("\n")], np.uint64)
 
 
-LINED = "doc long, tie long, lines binary, keys array<long>"
+def runs(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the runs of lines (hashes, bytes; no blank ones) that pair documents."""
+    n = len(h)
+    before = np.concatenate([[0], np.cumsum(size)])
+    # the line that ends the shortest run of LEAST bytes from each line
+    end = np.searchsorted(before, before[:-1] + LEAST) - 1
+    alone = end == np.arange(n)
+    keys = set(h[alone].tolist())
+    data = h.tobytes()
+    for i in range(n):
+        for last in {int(end[i]), max(int(end[i]), i + 1)}:
+            if i < last < n:
+                keys.add(xxhash.xxh3_64_intdigest(data[8 * i : 8 * last + 8]) & ~1)
+    return np.fromiter(keys, np.uint64, len(keys))
+
+
+LINED = "doc long, tie long, lines binary, sizes binary, keys array<long>"
 
 
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            lines, keys = [], []
+            lines, sizes, keys = [], [], []
             for text in part.column(2).to_pylist():
                 h = line_hashes(text)
+                size = np.array([min(LEAST, len(x.strip().encode())) for x in text.split("\n")], np.uint8)
                 lines.append(h.tobytes())
-                long = [len(x.strip()) >= LEAST for x in text.split("\n")]
-                keys.append(np.unique(h[long]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "tie", "lines", "keys"])
+                sizes.append(size.tobytes())
+                keys.append(runs(h[h > 0], size[h > 0].astype(np.int64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary()), pa.array(sizes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "tie", "lines", "sizes", "keys"])
+
+
+def blocks(a: list[int], b: list[int], sizes: bytes, hit: list[tuple[int, int]]) -> list[int]:
+    """Places in b of the aligned lines that stand in common blocks of LEAST bytes or more."""
+    ra, rb = (np.cumsum(np.array(x, np.uint64) > 0).tolist() for x in (a, b))
+    out: list[int] = []
+    block: list[int] = []
+    last = (-1, -1)
+    for i, j in [*hit, (-1, -1)]:
+        if block and (i < 0 or (ra[i], rb[j]) != (last[0] + 1, last[1] + 1)):
+            if sum(sizes[k] for k in block) >= LEAST:
+                out += block
+            block = []
+        if i >= 0:
+            block.append(j)
+            last = ra[i], rb[j]
+    return out
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, ties, gone = [], [], []
-        for doc, tie, later, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            own = np.frombuffer(later, np.uint64).tolist()
-            hit = patience(np.frombuffer(first, np.uint64).tolist(), own)
-            if hit:
-                docs.append(doc), ties.append(tie), gone.append([j for _, j in hit])
+        for doc, tie, later, sizes, first in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            own, other = (np.frombuffer(x, np.uint64).tolist() for x in (later, first))
+            cut = blocks(other, own, sizes, patience(other, own))
+            if cut:
+                docs.append(doc), ties.append(tie), gone.append(cut)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "tie", "gone"])
 
 
-def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of lines that a document still has."""
-    for batch in batches:
-        left = []
-        for lines, keys, gone in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
-            own = np.frombuffer(lines, np.uint64).view(np.int64)
-            left.append(np.intersect1d(np.delete(own, gone or []), np.array(keys, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.int64()))], ["doc", "tie", "keys"])
-
-
 def _key(id_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64("text").alias("__tie")]
 
@@ -145,35 +172,24 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id")
     rows = docs.filter("text is not null and text <> ''").select(*_key(id_col), "text")
     lined = staged(spark, rows.mapInArrow(_lined, LINED))
     held = lined.select(F.explode("keys").alias("key"), F.struct("doc", "tie").alias("who")).distinct()
-    owners = held.groupBy("key").agg(F.min("who").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
-    pairs = held.join(owners, "key").filter("who <> owner").select("who", "owner").distinct()
-    texts = lined.select(F.struct("doc", "tie").alias("who"), "lines").dropDuplicates(["who"])
-
-    def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts, "who").join(texts.select(F.col("who").alias("owner"), F.col("lines").alias("first")), "owner")
-        return staged(spark, both.select("who.doc", "who.tie", "lines", "first").mapInArrow(_aligned, "doc long, tie long, gone array<int>"))
-
-    def merged(gone: DataFrame) -> DataFrame:
-        return gone.groupBy("doc", "tie").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-    def still(gone: DataFrame, rows: DataFrame) -> DataFrame:
-        own = rows.join(merged(gone), ["doc", "tie"], "left").select("doc", "tie", "lines", "keys", "gone")
-        return own.mapInArrow(_left, "doc long, tie long, keys array<long>").select(F.struct("doc", "tie").alias("who"), F.explode("keys").alias("key"))
-
-    gone = aligned(pairs)
-    # lines left in a document that isn't their first holder; only their holders are numbered
-    later = staged(spark, still(gone, lined.dropDuplicates(["doc", "tie"])).join(owners, "key").filter("who <> owner").select("who", "key"))
-    if later.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("key").orderBy("who")) - 1
-        holders = staged(spark, held.join(later.select("key").distinct(), "key", "left_semi").withColumn("place", place))
-        active, lo, hi = staged(spark, holders.join(later, ["who", "key"], "left_semi").filter("place > 1")), 1, 2
-        while active.limit(1).count():
-            others = holders.filter((F.col("place") >= lo) & (F.col("place") < hi)).select("key", F.col("who").alias("owner"), F.col("place").alias("before"))
-            gone = gone.union(aligned(active.join(others, "key").filter("before < place").select("who", "owner").distinct()))
-            docs_left = lined.dropDuplicates(["doc", "tie"]).join(active.select("who.doc", "who.tie").distinct(), ["doc", "tie"], "left_semi")
-            active = staged(spark, active.filter(F.col("place") > hi).join(still(gone, docs_left), ["who", "key"], "left_semi"))
-            lo, hi = hi, 2 * hi
-    return merged(gone).select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
+    owners = held.groupBy("key").agg(F.min("who").alias("owner"), F.count("*").alias("holders")).filter("holders > 1")
+    shared = staged(spark, held.join(owners, "key").filter((F.col("who") != F.col("owner")) | (F.col("holders") <= RARE)))
+    # the holders of a rare run, in order: every two of them
+    few = shared.filter(F.col("holders").between(3, RARE)).groupBy("key").agg(F.sort_array(F.collect_list("who")).alias("all"))
+    each = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", F.lit(1), i), lambda y: F.struct(x.alias("who"), y.alias("owner")))))
+    pairs = shared.filter("who <> owner").select("who", "owner").union(few.select(F.explode(each).alias("p")).select("p.who", "p.owner"))
+    pairs = staged(spark, pairs.distinct())
+    # a document with many partners that come later is dealt to several tasks
+    parts = pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")).filter("parts > 1")
+    texts = lined.select(F.struct("doc", "tie").alias("who"), "lines", "sizes").dropDuplicates(["who"])
+    dealt = pairs.join(parts, "owner", "left").select("who", "owner", F.pmod(F.xxhash64("who"), F.coalesce("parts", F.lit(1))).alias("part"))
+    first = texts.select(F.col("who").alias("owner"), F.col("lines").alias("first")).join(parts, "owner", "left")
+    first = first.select("owner", "first", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).withColumn("part", F.col("part").cast("long"))
+    both = dealt.withColumn("part", F.col("part").cast("long")).join(texts, "who").join(first, ["owner", "part"])
+    gone = staged(spark, both.select("who.doc", "who.tie", "lines", "sizes", "first").mapInArrow(_aligned, "doc long, tie long, gone array<int>"))
+    dropped(spark, lined, shared, pairs)
+    merged = gone.groupBy("doc", "tie").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return merged.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

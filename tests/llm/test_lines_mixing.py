@@ -15,18 +15,38 @@ SCHEMA = "doc_id long, text string, source string, n_lines int, epoch int, key s
 ODD = [(None, None, None, 1, 1, "k"), (1, "", "a", 1, 1, "k"), (2, "same line of text\nother line here", "a", 1, 1, "k"), (2, "same line of text\nother line here", "a", 1, 1, "k"), (3, "other line here\n\nmine alone it is", None, 1, 1, "k"), (4, "same line of text\nother line here", "b", 1, 1, "k"), (5, "\n".join(f"line number {i}" for i in range(3000)), "b", 1, 1, "k")]
 
 
-def plain_lines(rows):
-    """(id, text) -> places to delete: owners by dictionary, then the same alignment."""
-    order = sorted(rows)
-    owner, gone = {}, defaultdict(set)
-    lines = {k: linededup.line_hashes(k[1]).tolist() for k in order}
+def plain_lines(rows, every_pair=False):
+    """(id, text) -> places to delete: runs of lines as strings in a dictionary, then the same alignment.
+
+    every_pair: each document is aligned with all earlier ones.
+    """
+    order = sorted(rows, key=lambda r: r[0])
+    size = lambda x: len(x.encode())
+    holders, gone = defaultdict(list), defaultdict(set)
+    lines = {k: [x.strip() for x in k[1].split("\n")] for k in order}
     for k in order:
-        partners = set()
-        for h, x in zip(lines[k], k[1].split("\n")):
-            if h and len(x.strip()) >= linededup.LEAST and owner.setdefault(h, k) != k:
-                partners.add(owner[h])
-        for p in partners:
-            gone[k] |= {j for _, j in linededup.patience(lines[p], lines[k])}
+        full = [x for x in lines[k] if x]
+        for i in range(len(full)):
+            for least in (1, 2):
+                run = next((full[i : j + 1] for j in range(i + least - 1, len(full)) if sum(map(size, full[i : j + 1])) >= linededup.LEAST), None)
+                if run and k not in holders[tuple(run)]:
+                    holders[tuple(run)].append(k)
+    pairs = set()
+    for h in holders.values():
+        pairs |= {(x, y) for i, y in enumerate(h) for x in (h[:i] if len(h) <= linededup.RARE else h[:1] if i else [])}
+    if every_pair:
+        pairs = {(x, y) for i, y in enumerate(order) for x in order[:i]}
+    number = {x: i for i, x in enumerate({x for v in lines.values() for x in v if x}, 1)}
+    for x, y in pairs:
+        a, b = ([number.get(s, 0) for s in lines[k]] for k in (x, y))
+        inside = lambda v, p, q: [z for z in v[p + 1 : q] if z]
+        block: list = []
+        for i, j in [*linededup.patience(a, b), (None, None)]:
+            if block and (i is None or inside(a, block[-1][0], i) or inside(b, block[-1][1], j)):
+                if sum(size(lines[y][q]) for _, q in block) >= linededup.LEAST:
+                    gone[y] |= {q for _, q in block}
+                block = []
+            block.append((i, j))
     return gone
 
 
@@ -41,6 +61,22 @@ def test_line_dedup(spark):
         assert got[d].text == (t if (d, t) not in gone else "" if not any(x.strip() for x in left) else "\n".join(left))
 
 
+def test_lines_of_every_pair():
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["text"]]
+    few, every = plain_lines(docs), plain_lines(docs, every_pair=True)
+    assert all(few[k] <= every[k] for k in every) and sum(map(len, few.values())) >= 0.98 * sum(map(len, every.values()))
+
+
+def test_short_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FOLLOWERS", 5)
+    verse = ["rose", "is", "a", "rose"]
+    rows = [(1, "\n".join(verse)), (2, "\n".join(["mine is this one", *verse])), (3, "rose"), (4, "rose"), (5, "a\n\nrose")]
+    rows += [(i, f"a line that a third of all rows hold\nown words of {i}") for i in range(10, 60)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == "mine is this one" and got[3] == got[4] == "rose" and got[5] == "a\n\nrose"
+    assert got[10] == rows[5][1] and all(got[i] == f"own words of {i}" for i in range(11, 60))
+
+
 def test_line_dedup_odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     out = linededup.dedup_lines(spark, df)
