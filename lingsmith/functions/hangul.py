@@ -46,3 +46,13 @@ def composed(keys: str) -> str:
         return chr(0xAC00 + (LEADS.index(m[1]) * 21 + VOWELS.index(vowel)) * 28 + FINALS.index(final))
 
     return _SYLLABLE.sub(one, keys)
+
+
+def composed_column(keys: Column) -> Column:
+    """composed, for a column: the pattern needs the syllable that a final moves to, so it runs in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(batch):  # type: ignore[no-untyped-def]
+        return batch.map(composed, na_action="ignore")
+
+    return run(keys)

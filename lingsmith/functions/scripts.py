@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -23,8 +24,27 @@ RANGES = {
 
 
 def letters(text: Column, script: str) -> Column:
-    """Letters of a script in a text."""
-    return F.length(F.regexp_replace(text, f"[^{RANGES[script]}]", ""))
+    """Letters of a script in a text; whole runs of other characters go at once."""
+    return F.length(F.regexp_replace(text, f"[^{RANGES[script]}]++", ""))
+
+
+_CLASS = {s: re.compile(f"[{re.sub(r'.x.([0-9A-F]{4}).', lambda m: chr(int(m[1], 16)), r)}]") for s, r in RANGES.items()}
+
+
+def letter_of(ch: str, script: str) -> bool:
+    """Whether a character, on the driver, is a letter of the script (letters of Korean keys too)."""
+    return bool(ch and (_CLASS[script].fullmatch(ch) or script == "Hangul" and "\u3131" <= ch <= "\u3163"))
+
+
+def script_of(ch: str) -> str | None:
+    return next((s for s in RANGES if letter_of(ch, s)), None)
+
+
+def dominant_of(text: str) -> str | None:
+    """dominant, for a string on the driver or in a worker."""
+    n = {s: len(c.findall(text)) for s, c in _CLASS.items()}
+    best = max(n, key=n.get)  # type: ignore[arg-type]
+    return best if n[best] else None
 
 
 def dominant(text: Column) -> Column:
@@ -37,6 +57,13 @@ def dominant(text: Column) -> Column:
 def scripts_seen(text: Column) -> Column:
     return sum((text.rlike(f"[{r}]").cast("int") for r in RANGES.values()), F.lit(0))
 
+
+
+def mixed(text: Column) -> Column:
+    """Letters of two scripts or more."""
+    return scripts_seen(text) > 1
+
+
 ABJAD = ("Hebrew", "Arabic")
 
 # Vowels of scripts that write them, and marks left out or unified in lookups.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,17 @@ def caps_lock_undone(words: DataFrame, by: list[str]) -> DataFrame:
     turned = F.concat(casing.upper(F.substring("w", 1, 1)), F.lower(F.expr("substring(w, 2)")))
     fixed = F.when(F.col("on") & w.rlike(r"^\p{Lu}{2,}$"), F.lower("w")).when(F.col("on") & w.rlike(r"^\p{Ll}\p{Lu}+$"), turned).otherwise(w)
     return words.withColumn("on", on).select(*by, "pos", fixed.alias("word"))
+
+
+def auto_eligible(word: Column, signs: str, shift_letters: str, directed: bool = False, digits: str = "", least: int = 3) -> Column:
+    """Whether a chunk may be corrected unasked: letters and signs that type letters elsewhere, a small letter, and no
+    later capital but those of keys whose shift types a letter, or a slip of the shift keys.
+
+    On a line with a direction one letter is enough, and so are signs alone.
+    """
+    core = F.regexp_replace(word, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
+    sign = re.escape(signs)
+    allowed = core.rlike(rf"^[\p{{L}}{sign}{re.escape(digits)}]*$")
+    inner = F.expr("1=1") if not shift_letters else ~F.substr(core, F.lit(2)).rlike(rf"[\p{{Lu}}&&[^{shift_letters}]]")
+    ok = (F.length(core) >= (1 if directed else least)) & allowed & core.rlike(r"[\p{L}&&[^\p{Lu}]]") & (inner | caps_slip(core).isNotNull())
+    return F.when((core == "") & (word != ""), word.rlike(rf"^[{sign}]+$")).otherwise(ok) if directed else ok

@@ -21,7 +21,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
