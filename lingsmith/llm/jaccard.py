@@ -1,11 +1,13 @@
 """N-gram Jaccard join by set-relation skipping.
 
-Sets of word 3-grams link when their Jaccard similarity reaches the threshold. Equal sets are one set. Each other
-set puts its rarest elements (as many as a partner must share one of) into index lists. A list is read in blocks
-by size and position: blocks whose sizes or positions rule a link out are skipped whole. Answers are derived from
-those of similar sets: first each member of a list is compared with its likeliest partner only, by a sketch whose
-bound is exact; a set then shares the answers of the sets it is linked with, and what is left to compare are pairs
-of different groups. Every pair that a sketch leaves open is verified on the texts.
+Sets of word 3-grams link when their Jaccard similarity reaches the threshold. Equal sets are one set. Highly similar
+sets are found first: sets that share one of their LEAST least hashes are compared with their likeliest partner only, by
+a sketch whose bound is exact. Then each set puts its rarest elements (as many as a partner must share one of) into
+index lists. A list is read in blocks by size and position: blocks whose sizes or positions rule a link out are skipped
+whole. Answers are derived from those of similar sets: lists whose members are all of one group are skipped; in the
+others the distances from one member of a group to all others are computed, and those of the group's other members
+follow from them by the triangle inequality where that rules a link out. Every pair that is left open is verified on the
+texts. Links inside a group that its first pairs have joined are neither looked for nor counted.
 
 The order of elements by rarity comes from counts in a table of fixed size; any order gives the same result.
 
@@ -39,6 +41,8 @@ LONG_LIST, CHUNK = 4096, 2048
 BLOCK = 256
 #: Bits of the map that tells which texts are asked for, and the blocks it travels in.
 MARK_BITS, MARK_BLOCKS = 24, 16
+#: Hashes by which the first similar set is found; rows of an index list that are held until a second group shows up.
+LEAST, HELD = 3, 100_000
 #: An id that stands for null, after all others.
 NO_ID = 2**63 - 1
 
@@ -79,25 +83,44 @@ def folded(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-FIRST = "id long, n long, digest binary, body binary, block int"
+FIRST = "id long, n long, key long, more long, body binary, sketch binary, least array<long>, block int"
 
 
 def _first(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row a document with its set's digest and packed text; at the end, the counts of this task's elements."""
+    """A row a document with its set's digest (key, more), and for the first of equal sets in this task the packed text,
+    a sketch and the least hashes; at the end, the counts of this task's elements."""
     pack = zstandard.ZstdCompressor(level=1)
     counts = np.zeros(1 << TABLE_BITS, np.uint32)
-    names = ["id", "n", "digest", "body", "block"]
+    names = ["id", "n", "key", "more", "body", "sketch", "least", "block"]
+    seen: set[bytes] = set()
     for batch in batches:
         for first, found in sets(batch.column(1), k):
             if found:
                 np.add.at(counts, (np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
             own = batch.slice(first, len(found))
-            body = [pack.compress((t or "").encode()) for t in own.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array(body, pa.binary()), pa.nulls(len(found), pa.int32())], names)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = [len(s) > 0 and d not in seen and not seen.add(d) for s, d in zip(found, digests)]
+            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            texts = own.column(1).to_pylist()
+            columns = [
+                own.column(0),
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array(pair[:, 0].copy()),
+                pa.array(pair[:, 1].copy()),
+                pa.array([pack.compress(t.encode()) if ok else None for t, ok in zip(texts, new)], pa.binary()),
+                pa.array([sketch(s) if ok else None for s, ok in zip(found, new)], pa.binary()),
+                pa.array([s[:LEAST].view(np.int64) if ok else None for s, ok in zip(found, new)], pa.list_(pa.int64())),
+                pa.nulls(len(found), pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
     if counts.any():
         parts = [pack.compress(x.tobytes()) for x in np.split(counts, TABLE_BLOCKS)]
-        n = TABLE_BLOCKS
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(parts, pa.binary()), pa.array(range(n), pa.int32())], names)
+        kinds = [pa.int64()] * 4 + [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+        columns = [pa.nulls(TABLE_BLOCKS, kind) for kind in kinds]
+        columns[4], columns[7] = pa.array(parts, pa.binary()), pa.array(range(TABLE_BLOCKS), pa.int32())
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,69 +150,88 @@ def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, kind))[:p]]
 
 
-def _postings(batches: Iterator[pa.RecordBatch], table, k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    unpack = zstandard.ZstdDecompressor()
+def _prefixes(batches: Iterator[pa.RecordBatch], table, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, more, n, tokens) of texts: the prefix of each set, in the order of rarity."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            digests = part.column(0).to_pylist()
-            new = [i for i, d in enumerate(digests) if d not in seen and not seen.add(d)]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if not new:
-                continue
-            texts = pa.array([unpack.decompress(part.column(1)[i].as_py()) for i in new], pa.binary())
-            token, size, place, digest = [], [], [], []
-            for first, found in sets(texts, k):
-                for i, s in enumerate(found, first):
-                    own = prefix(s, table.value, percent)
-                    token.append(own)
-                    size.append(np.full(len(own), len(s), np.int32))
-                    place.append(np.arange(len(own), dtype=np.int32))
-                    digest += [digests[new[i]]] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(digest, pa.binary())], ["token", "size", "pos", "digest"])
-
-
-def _partnered(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of lists in order of size, the members whose neighbour in size may link with them; each set once a list."""
-    left = None  # the last member, not yet given out
-    ok = False  # whether it goes with the one before it
+            texts = pa.array([zstandard.decompress(x) for x in part.column(2).to_pylist()], pa.binary())
+            n, tokens = [], []
+            for _, found in sets(texts, k):
+                n += [len(s) for s in found]
+                tokens += [prefix(s, table.value, percent).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["key", "more", "n", "tokens"])
+
+
+POSTED = "token long, size int, pos int, key long, group long"
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of (key, group, n, tokens)."""
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        token, size = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
-        digest = np.array(rows.column(3).to_pylist(), object)
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-        if not new.all():
-            rows, token, size = rows.filter(pa.array(new)), token[new], size[new]
-        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        keep = np.append(ok, near)[: len(token)]
-        keep[:-1] |= near
-        if len(token) > 1:
-            yield from rows.slice(0, len(token) - 1).filter(pa.array(keep[:-1])).to_batches()
-        left, ok = rows.slice(len(token) - 1), bool(keep[-1])
-    if left is not None and ok:
-        yield from left.to_batches()
-
-
-def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            data, off = raw(part.column(3))
+            m = np.diff(off) // 8
+            place = np.arange(off[-1] // 8) - np.repeat(off[:-1] // 8, m)
+            key, group, n = (np.repeat(part.column(i).to_numpy(), m) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(n), pa.array(place.astype(np.int32)), pa.array(key), pa.array(group)], ["token", "size", "pos", "key", "group"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of lists in order of size, those with members of two groups, without members whose neighbours in size are too far
+    from them; a list that is longer than HELD rows before its second group is taken for such a list."""
+    left: pa.Table | None = None  # the last list so far
+    sure = False  # whether rows of it have been given out
+
+    def chosen(rows: pa.Table, last_too: bool):
+        nonlocal left, sure
+        token, size, group = (rows.column(i).to_numpy() for i in (0, 1, 4))
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        mixed = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+        mixed[0] |= sure
+        end = len(rows) if last_too else int(start[-1])
+        if not last_too and len(rows) - end > HELD:
+            # one of the list's rows stays, as the neighbour of those to come
+            mixed[-1], end = True, len(rows) - 1
+        near = (token[1:] == token[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:].astype(np.int64))
+        keep = np.repeat(mixed, np.diff(np.append(start, len(rows))))
+        keep &= np.append(sure, near) | np.append(near, False)
+        out = rows.slice(0, end).filter(pa.array(keep[:end]))
+        sure = not last_too and bool(end > start[-1] or (sure and start[-1] == 0))
+        left = rows.slice(end) if end < len(rows) else None
+        return out.to_batches()
+
     for batch in batches:
-        texts = pa.array([zstandard.decompress(x) for x in batch.column(1).to_pylist()], pa.binary())
-        for first, found in sets(texts, k):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(found)], pa.array([sketch(s) for s in found], pa.binary())], ["digest", "sketch"])
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+            yield from chosen(rows, False)
+    if left is not None:
+        yield from chosen(left, True)
 
 
-def compared(size: np.ndarray, pos: np.ndarray, group: list, sketches: list[bytes], percent: int, nearest: bool) -> list[tuple[int, int]]:
+def reached(group: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each member or -1, distances): for each group of several members, those of its first to all members."""
+    _, lead, inverse, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count > 1)
+    row = np.full(len(lead), -1)
+    row[several] = np.arange(len(several))
+    x = folded(sketches, min(map(len, sketches)))
+    return row[inverse], np.array([np.bitwise_count(x ^ x[lead[g]]).sum(1, dtype=np.int64) for g in several]).reshape(-1, len(group))
+
+
+def compared(size: np.ndarray, pos: np.ndarray, group: np.ndarray | None, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of one list, which come by size, that may link.
 
     A block is left out when its least size is beyond what any member of the other could link with, or when even
-    the best positions leave too few common elements. Pairs of one group are left out. nearest: for each member
-    only the likeliest of those before it.
+    the best positions leave too few common elements. With groups, pairs of one group are left out, and so are those
+    that the distances of their groups' first members rule out; without, each member has the likeliest of those before
+    it only.
     """
     n, out = len(size), []
     best = np.full(n, 1e18)
     who = np.full(n, -1)
+    row, far = reached(group, sketches) if group is not None and n > 8 else (None, None)
     for a in range(0, n, BLOCK):
         b = min(a + BLOCK, n)
         for c in range(a, n, BLOCK):
@@ -205,57 +247,71 @@ def compared(size: np.ndarray, pos: np.ndarray, group: list, sketches: list[byte
             fits &= (100 + percent) * common >= percent * (s + t)
             if a == c:
                 fits &= np.arange(b - a)[:, None] < np.arange(d - c)[None, :]
+            if group is not None:
+                fits &= group[a:b, None] != group[None, c:d]
             i, j = np.nonzero(fits)
-            if group and len(i):
-                other = np.array([group[a + x] != group[c + y] for x, y in zip(i, j)], bool)
-                i, j = i[other], j[other]
+            i, j = i + a, j + c
+            for side in (0, 1) if row is not None and len(far) else ():
+                # two members are apart at least by the difference of their distances from a group's first member
+                own = row[(i, j)[side]]
+                apart = np.where(own >= 0, np.abs(far[own, i] - far[own, j]), 0)
+                ok = apart * (100 + percent) <= (100 - percent) * (size[i] + size[j])
+                i, j = i[ok], j[ok]
             if not len(i):
                 continue
             width = min(map(len, sketches[a:b] + sketches[c:d]))
             x, y = folded(sketches[a:b], width), folded(sketches[c:d], width)
             for at in range(0, len(i), 1 << 16):
                 ii, jj = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                apart = np.bitwise_count(x[ii] ^ y[jj]).sum(1, dtype=np.int64)
-                total = size[a + ii].astype(np.int64) + size[c + jj]
+                apart = np.bitwise_count(x[ii - a] ^ y[jj - c]).sum(1, dtype=np.int64)
+                total = size[ii] + size[jj]
                 ok = apart * (100 + percent) <= (100 - percent) * total
-                ii, jj, ratio = ii[ok] + a, jj[ok] + c, apart[ok] / total[ok]
-                if not nearest:
-                    out += zip(ii.tolist(), jj.tolist())
+                ii, jj, ratio = ii[ok], jj[ok], apart[ok] / total[ok]
+                if group is not None:
+                    out.append(np.stack([ii, jj]))
                     continue
                 order = np.lexsort((ii, ratio, jj))
-                lead = np.flatnonzero(np.append(True, jj[order][1:] != jj[order][:-1])) if len(order) else order
-                for m in order[lead]:
-                    if ratio[m] < best[jj[m]]:
-                        best[jj[m]], who[jj[m]] = ratio[m], ii[m]
-    return [(int(who[j]), int(j)) for j in np.flatnonzero(who >= 0)] if nearest else out
+                lead = order[np.append(True, jj[order][1:] != jj[order][:-1])] if len(order) else order
+                lead = lead[ratio[lead] < best[jj[lead]]]
+                best[jj[lead]], who[jj[lead]] = ratio[lead], ii[lead]
+    if group is None:
+        j = np.flatnonzero(who >= 0)
+        return who[j], j
+    return tuple(np.concatenate(out, 1)) if out else (who[:0], who[:0])
 
 
 def _listed(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from lists that come whole, by token and cell, in order of size."""
-    rows: list[tuple] = []
-    seen: set[tuple[bytes, bytes]] = set()
-
-    def pairs():
-        token, cell, size, pos, digest, group, sketches = zip(*rows)
-        hits = compared(np.array(size), np.array(pos), list(group) if not nearest else [], list(sketches), percent, nearest)
-        new = {(min(digest[i], digest[j]), max(digest[i], digest[j])) for i, j in hits if digest[i] != digest[j]} - seen
+    """Candidate pairs from lists (token, cell, size, pos, key, group, sketch) that come whole, in order of size."""
+    seen: set[tuple[int, int]] = set()
+    left: pa.Table | None = None
+
+    def pairs(rows: pa.Table, last_too: bool):
+        nonlocal left
+        token, cell, size, pos, key, group = (rows.column(i).to_numpy() for i in range(6))
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        start = np.append(np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]))), len(rows))
+        done = len(start) - 1 if last_too else len(start) - 2
+        left = rows.slice(start[done]) if start[done] < len(rows) else None
+        sketches = rows.slice(0, start[done]).column(6).to_pylist()
+        new: set[tuple[int, int]] = set()
+        for a, b in zip(start[:done].tolist(), start[1 : done + 1].tolist()):
+            if b - a > 1:
+                i, j = compared(size[a:b], pos[a:b], None if nearest else group[a:b], sketches[a:b], percent)
+                x, y = key[a + i], key[a + j]
+                new.update(zip(np.minimum(x, y)[x != y].tolist(), np.maximum(x, y)[x != y].tolist()))
+        new -= seen
         if len(seen) > 500_000:
             seen.clear()
         seen.update(new)
-        new = sorted(new)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([y for _, y in part], pa.binary())], ["a", "b"])
+        if new:
+            found = np.array(sorted(new), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if rows and rows[-1][:2] != row[:2]:
-                if len(rows) > 1:
-                    yield from pairs()
-                rows = []
-            rows.append(row)
-    if len(rows) > 1:
-        yield from pairs()
+        if batch.num_rows:
+            yield from pairs(pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch]), False)
+    if left is not None:
+        yield from pairs(left, True)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -277,7 +333,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
     flat = bits.reshape(-1)
     for batch in batches:
-        at = _slots(batch.column(0).to_pylist())
+        at = _slots(batch.column(0))
         np.bitwise_or.at(flat, at >> 3, (1 << (at & 7)).astype(np.uint8))
     used = np.flatnonzero(bits.any(1))
     if len(used):
@@ -294,38 +350,36 @@ def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "body"])
 
 
-def _slots(digests: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join(digests), np.uint64)[::2] >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _slots(keys: pa.Array) -> np.ndarray:
+    return (keys.to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
 def _maybe(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            at = _slots(batch.column(0).to_pylist())
+            at = _slots(batch.column(0))
             yield batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
 
 
-def _bodies(spark: SparkSession, bodies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, body) of the wanted digests, each once. A bitmap of fixed size (2 MB) first leaves out most others,
-    so that texts which nothing asks for aren't shuffled; the join is exact."""
-    rows = wanted.mapInArrow(_marked, "block int, body binary").repartition(MARK_BLOCKS, "block").mapInArrow(_joined_marks, "block int, body binary").collect()
+def _verify(spark: SparkSession, pairs: DataFrame, bodies: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of pairs of keys, as ids of representatives; a key stands for all sets that have it.
+
+    A bitmap of fixed size (2 MB) first leaves out most other texts, so that those which nothing asks for aren't
+    shuffled; the joins are exact.
+    """
+    pairs = staged(spark, pairs.distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = used.mapInArrow(_marked, "block int, body binary").repartition(MARK_BLOCKS, "block").mapInArrow(_joined_marks, "block int, body binary").collect()
     bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
     for r in rows:
         bits[r["block"]] = np.frombuffer(r["body"], np.uint8)
     marks = spark.sparkContext.broadcast(bits.reshape(-1))
-    few = bodies.mapInArrow(lambda it: _maybe(it, marks), "digest binary, body binary").groupBy("digest").agg(F.min("body").alias("body"))
-    return few.join(wanted, "digest", "left_semi")
-
-
-def _verify(spark: SparkSession, pairs: DataFrame, bodies: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) as ids of representatives."""
-    pairs = staged(spark, pairs.distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = staged(spark, _bodies(spark, bodies, used))
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    true = both.mapInArrow(lambda it: _verified(it, k, percent), "a binary, b binary")
-    out = staged(spark, true.join(reps.toDF("a", "i"), "a").join(reps.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    few = bodies.mapInArrow(lambda it: _maybe(it, marks), "key long, more long, body binary").groupBy("key", "more").agg(F.min("body").alias("body"))
+    texts = staged(spark, few.join(used, "key", "left_semi").join(reps, ["key", "more"]).select("key", "id", "body"))
+    both = pairs.join(texts.toDF("a", "i", "x"), "a").join(texts.toDF("b", "j", "y"), "b").select("i", "j", "x", "y")
+    out = staged(spark, both.mapInArrow(lambda it: _verified(it, k, percent), "a long, b long"))
     dropped(spark, texts, pairs)
+    marks.unpersist()
     return out
 
 
@@ -334,40 +388,37 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     first = staged(spark, rows.mapInArrow(lambda it: _first(it, k), FIRST))
     table = spark.sparkContext.broadcast(rarity(first))
-    docs = first.filter("block is null")
-    bodies = docs.filter("n > 0").select("digest", "body")
-    reps = staged(spark, docs.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id")))
-
-    posted = bodies.mapInArrow(lambda it: _postings(it, table, k, percent), "token long, size int, pos int, digest binary").repartition(width(spark), "token")
-    dealt = posted.sortWithinPartitions("token", "size", "digest")
-    listed = staged(spark, dealt.mapInArrow(lambda it: _partnered(it, percent), "token long, size int, pos int, digest binary"))
-    long = listed.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST)
-    listed = listed.join(long, "token", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    used = _bodies(spark, bodies, listed.select("digest").distinct())
-    sketches = staged(spark, used.mapInArrow(lambda it: _sketched(it, k), "digest binary, sketch binary"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), chunks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * 100_000 + F.greatest(own, c))
-    cells = F.when(F.col("m") <= LONG_LIST, F.array(F.lit(0))).otherwise(F.array_distinct(others))
-
-    def candidates(linked: DataFrame | None) -> DataFrame:
-        if linked is None:
-            grouped = listed.withColumn("group", F.lit(None).cast("long"))
-        else:
-            grouped = listed.join(reps, "digest").join(linked, "id", "left").withColumn("group", F.coalesce("component", "id"))
-        spread = grouped.join(sketches, "digest").select("token", F.explode(cells).alias("cell"), "size", "pos", "digest", "group", "sketch")
-        dealt = spread.repartition(width(spark), "token", "cell").sortWithinPartitions("token", "cell", "size", "digest")
-        nearest = linked is None
-        return dealt.mapInArrow(lambda it: _listed(it, percent, nearest), "a binary, b binary")
-
-    near = _verify(spark, candidates(None), bodies, reps, k, percent)
-    same = docs.filter("n > 0").join(reps.withColumnRenamed("id", "rep"), "digest").select("id", "rep").filter("id <> rep")
+    docs = first.filter("block is null").select("id", "n", "key", "more")
+    held = first.filter("body is not null and block is null")
+    bodies = held.select("key", "more", "body")
+    reps = staged(spark, docs.filter("n > 0").groupBy("key", "more").agg(F.min("id").alias("id")))
+    sketches = staged(spark, held.select("key", "more", F.col("n").cast("int").alias("n"), "sketch", "least").dropDuplicates(["key", "more"]))
+
+    def candidates(lists: DataFrame, nearest: bool) -> DataFrame:
+        """Lists (POSTED) of more than LONG_LIST members are split into cells, of two chunks each."""
+        long = lists.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST)
+        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+        own = F.pmod(F.xxhash64("key"), chunks).cast("int")
+        others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * 100_000 + F.greatest(own, c))
+        cells = F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
+        spread = lists.join(long, "token", "left").join(sketches.select("key", "sketch"), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
+        dealt = spread.repartition(width(spark), "token", "cell").sortWithinPartitions("token", "cell", "size", "key")
+        return dealt.mapInArrow(lambda it: _listed(it, percent, nearest), "a long, b long")
+
+    least = sketches.select(F.posexplode("least").alias("pos", "token"), F.col("n").alias("size"), "key", F.lit(0).cast("long").alias("group"))
+    near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), True), bodies, reps, k, percent)
     linked = components(spark, near)
-    rest = _verify(spark, candidates(linked), bodies, reps, k, percent)
+    grouped = reps.join(linked, "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
+    prefixes = bodies.mapInArrow(lambda it: _prefixes(it, table, k, percent), "key long, more long, n int, tokens binary").dropDuplicates(["key", "more"])
+    posted = prefixes.join(grouped, ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
+    dealt = posted.repartition(width(spark), "token").sortWithinPartitions("token", "size", "key")
+    lists = staged(spark, dealt.mapInArrow(lambda it: _open(it, percent), POSTED))
+    rest = _verify(spark, candidates(lists, False), bodies, reps, k, percent)
+    same = docs.filter("n > 0").join(reps.withColumnRenamed("id", "rep"), ["key", "more"]).select("id", "rep").filter("id <> rep")
     found = components(spark, near.union(rest).union(same.toDF("a", "b")))
-    out = docs.select("id", "n").join(found, "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
+    dropped(spark, lists, sketches, near, rest, reps)
     table.unpersist()
-    return out
+    return docs.select("id", "n").join(found, "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
 
 
 def _id(column):
@@ -375,11 +426,11 @@ def _id(column):
     return F.when(column != NO_ID, column)
 
 
-def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id") -> DataFrame:
+def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, of which each group keeps one document: that with the smallest id.
 
-    Of rows with the same id one stays; rows with a null id all stay.
+    Of rows with the same id and text one stays; rows with a null id all stay.
     """
-    found = groups(spark, df, percent, k, id_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = groups(spark, df, percent, k, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     stay = df.filter(F.col(id_col).isNotNull()).join(found, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return stay.dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    return stay.dropDuplicates([id_col, text_col]).unionByName(df.filter(F.col(id_col).isNull()))

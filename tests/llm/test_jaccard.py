@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lingsmith.llm import jaccard
@@ -79,6 +80,45 @@ def test_odd(spark):
     assert jaccard.groups(spark, df.limit(0)).count() == 0
     kept = sorted(r.doc_id or 0 for r in jaccard.one_of_each(spark, df.filter("doc_id is not null")).collect())
     assert kept == [3, 4, 5, 6, 7, 9, 10]
+    two = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f")], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard.one_of_each(spark, two).collect()) == ["a b c d e f", "g h i j k l"]
+
+
+def test_open_lists(monkeypatch):
+    """Lists of one group go whole; a long list is given out in parts without losing neighbours."""
+    rng = random.Random(6)
+    rows = []
+    for token in range(60):
+        groups = rng.choice([1, 1, 2, 5])
+        rows += sorted((token, rng.randrange(10, 60), 0, i, rng.randrange(groups)) for i in range(rng.choice([1, 3, 40])))
+    want = []
+    for token in range(60):
+        own = [r for r in rows if r[0] == token]
+        near = [any(0 <= j < len(own) and 100 * min(own[i][1], own[j][1]) >= 90 * max(own[i][1], own[j][1]) for j in (i - 1, i + 1)) for i in range(len(own))]
+        want += [r for r, ok in zip(own, near) if ok and len({x[4] for x in own}) > 1]
+    for held in (100_000, 12):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        cols = [pa.array(c) for c in zip(*rows)]
+        batches = pa.Table.from_arrays(cols, ["token", "size", "pos", "key", "group"]).to_batches(max_chunksize=7)
+        got = [tuple(r.values()) for b in jaccard._open(iter(batches), 90) for r in b.to_pylist()]
+        assert got == want if held > 12 else set(want) <= set(got) and len(got) == len(set(got))
+
+
+def test_compared():
+    """Pairs that the distances of a group's first member rule out are no candidates by their own sketches either."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 400).astype(np.uint64) for _ in range(5)]
+    found, group = [], []
+    for i in range(80):
+        s = base[i % 5].copy()
+        s[: rng.integers(0, 60)] = rng.integers(0, 2**63, 1)[0]
+        found.append(np.unique(s)), group.append(i % 7)
+    order = np.argsort([len(s) for s in found], kind="stable")
+    found, group = [found[i] for i in order], np.array(group)[order]
+    size, sketches = np.array([len(s) for s in found]), [jaccard.sketch(s) for s in found]
+    got = set(zip(*(x.tolist() for x in jaccard.compared(size, np.zeros(80, np.int64), group, sketches, 90))))
+    want = {(i, j) for j in range(80) for i in range(j) if group[i] != group[j] and 100 * len(np.intersect1d(found[i], found[j])) >= 90 * len(np.union1d(found[i], found[j]))}
+    assert want <= got and len(got) < 80 * 79 / 4
 
 
 def test_sketch_bound():
