@@ -5,19 +5,13 @@ from __future__ import annotations
 import base64
 import os
 import re
-import unicodedata
 
 import numpy as np
 
-#: White space of Unicode, as the tokenizers' patterns take it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-
-#: Boundaries at which the lower-casing word vocabulary always splits: contractions, letters, single digits, the rest.
-PIECE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[^\W\d_]+|\d|(?:[^\w{SPACE}]|_)+")
-
-#: The same for texts without capitals in ASCII, and for texts of the Latin blocks whose letters all stand composed.
+#: Boundaries at which the lower-casing word vocabulary always splits (contractions, letters, single digits, the rest),
+#: for texts of ASCII in lower case, and for texts of the Latin blocks whose letters all stand composed.
 ASCII_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t\n\x0b\x0c\r ]+")
-LATIN_PIECE = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9{SPACE}]+")
+LATIN_PIECE = re.compile("'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9\t\n\x0b\x0c\r \xa0]+")
 BEYOND_LATIN = re.compile("[^\x00-\x7f\xa0¡«»¿À-ÖØ-öø-ɏ‘’“”–—…]")
 
 #: Pieces that a worker remembers at most; then it starts afresh.
@@ -71,9 +65,9 @@ def byte_tokens(json_path: str) -> ByteTokens:
 class WordTokens:
     """Ids of the lower-casing word vocabulary by the tokenizers library, each distinct piece encoded once a worker.
 
-    Its pattern never crosses the boundaries of PIECE once a text is in NFC, so the ids of a text are those of its
-    pieces in turn. Pieces of ASCII go straight to the library's BPE model, others through its whole chain. A text
-    that holds the string of a special token is encoded as a whole.
+    In texts of the Latin blocks its pattern never crosses the boundaries of the pieces, so the ids of a text are those
+    of its pieces in turn. Pieces of ASCII go straight to the library's BPE model, others through its whole chain. Any
+    other text goes to the library whole: normal forms and classes of letters are those of the library's own tables.
     """
 
     def __init__(self, json_path: str):
@@ -86,14 +80,9 @@ class WordTokens:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as the smallest unsigned integers that hold the vocabulary."""
-        if any(x in text for x in self.special):
+        if any(x in text for x in self.special) or not text.isascii() and BEYOND_LATIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        if text.isascii():
-            pieces = ASCII_PIECE.findall(text.lower())
-        elif not BEYOND_LATIN.search(text):
-            pieces = LATIN_PIECE.findall(text)
-        else:
-            pieces = PIECE.findall(unicodedata.normalize("NFC", text))
+        pieces = ASCII_PIECE.findall(text.lower()) if text.isascii() else LATIN_PIECE.findall(text)
         ids = self.ids
         try:
             return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)

@@ -1,6 +1,7 @@
 """Packing, token shards and fingerprints against plain versions."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lingsmith.llm import fingerprint, packing, wavelet
+from lingsmith.llm._tokens import word_tokens
 from lingsmith.llm.queries import op3_best_fit_packing, op9_fingerprints, op10_wavelet_tokens
 
 SF = "/root/testdata/sf0.001"
@@ -110,8 +112,23 @@ def test_wavelet_odd(spark, odd):
     assert wavelet.read_shards(wavelet.write_shards(spark, odd.limit(0), path)).count() == 0
 
 
+def test_word_tokens_of_any_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tok = word_tokens(path), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    fresh = "\u1c89\ua7cb\U000105c0\u0342\u1df7\u0130\u017f\u00b5\u00aa\u00b3\u2028\x85\x1c\x00\ufeff"
+    latin = [chr(c) for c in range(0xA0, 0x250)]
+    kinds = [lambda: chr(rng.randrange(1, 128)), lambda: rng.choice(latin), lambda: rng.choice(fresh), lambda: rng.choice(["'s", "'LL ", "don't", " ", "’", "12", "Straße"]), lambda: chr(rng.choice([rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)]))]
+    for n in range(20_000):
+        use = kinds[: rng.randrange(1, len(kinds) + 1)]
+        text = "".join(rng.choice(use)() for _ in range(rng.randrange(0, 24)))
+        assert own.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
+    big = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(rng.integers(0, 3, 700_000).astype(np.uint32), b"table").to_bytes())
+    assert big.documents == b"table" and big.access(699_999) == int(big.ids()[-1]) and sorted(big.planes[0]._open) == [2]
     ids = rng.integers(0, 300, 3000).astype(np.uint32)
     w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids).to_bytes())
     assert (w.ids() == ids).all()
