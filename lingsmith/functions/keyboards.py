@@ -302,3 +302,32 @@ def oem_keys() -> str:
 def shift_letter_keys() -> str:
     """Capital letters of the US keys whose shift types a letter of its own in a script without capitals (Korean aside)."""
     return "".join(sorted({us.upper() for n in ("he", "ar", "ka") for i, us in enumerate(US) if us.isalpha() and scripts.script_of(layout(n).shift[i])}))
+
+
+def candidates(script: Column, mixed: Column, preferred: str, mistyped: dict[str, Column] | None = None) -> Column:
+    """Layouts in the order in which a plain switch tries them: in mixed texts those of the text's script, the preferred
+    one first; then those of other scripts, the preferred one first; last those of the script with a mistyped key."""
+    names = list(SCRIPT)
+    own = lambda n: script == SCRIPT[n]
+    part = lambda rule: [F.when(rule(n), F.lit(n)) for n in names]
+    order = part(lambda n: mixed & own(n) & F.lit(n == preferred)) + part(lambda n: mixed & own(n))
+    order += part(lambda n: ~F.coalesce(own(n), F.lit(False)) & F.lit(n == preferred)) + part(lambda n: ~F.coalesce(own(n), F.lit(False)))
+    order += [F.when(own(n) & hit, F.lit(n)) for n, hit in (mistyped or {}).items()]
+    return F.array_distinct(F.array_compact(F.array(*order)))
+
+
+def plain_switch(text: Column, active: str, installed: list[str], preferred: str) -> Column:
+    """The text on the first layout in that order that changes it; the majority script says what it was typed on."""
+    out = []
+    for source in installed:
+        script = SCRIPT[source]
+        others = [n for n in installed if n != source]
+        first = (scripts.majority(text) == script) if source != active else F.coalesce(scripts.majority(text), F.lit(script)) == script
+        order = sorted(others, key=lambda n: (SCRIPT[n] == script, n != preferred, installed.index(n)))
+        same = [n for n in others if SCRIPT[n] == script]
+        found = [into_script(text, (source, *others), n) for n in order if SCRIPT[n] != script]
+        found += [F.when(text.rlike("[" + re.escape(mistyped_keys(source, n)) + "]"), into_script(text, (source, *others), n)) for n in same if mistyped_keys(source, n)]
+        mixed_first = [F.when(scripts.mixed(text), into_script(text, (source, *others), n)) for n in sorted(same, key=lambda n: n != preferred)]
+        steps = [F.when(x != text, x) for x in mixed_first + found]
+        out.append(F.when(first, F.coalesce(*steps, text) if steps else text))
+    return F.coalesce(*out, text)

@@ -107,3 +107,7 @@ def _sql_finish(w: str) -> str:
 def sql_heard(cyrillic: str) -> str:
     """The key of a Cyrillic word in DuckDB's SQL."""
     return _sql_finish(f"regexp_replace({_chain(transliterate.sql(cyrillic, transliterate.CYRILLIC_OUT), HEARD)}, '[^a-zJSC]', '', 'g')")
+
+
+def doubles_collapsed(key: Column) -> Column:
+    return F.regexp_replace(key, r"(.)\1+", "$1")

@@ -87,7 +87,7 @@ def accents() -> tuple[str, str]:
 
 def _vowels(script: str) -> str:
     if script == "Latin":
-        return "aeiouyıøæœơư" + "".join(c for c in _latin() if c == c.lower() and unicodedata.normalize("NFD", c)[0] in "aeiouy")
+        return "aeiouyıøæœơư" + "".join(c for c in _latin() if c == c.lower() and unicodedata.normalize("NFD", c)[0] in "aeiouyıøæœơư")
     return VOWELS.get(script, "")
 
 
@@ -171,3 +171,36 @@ def trimmed(text: Column, script: str) -> Column:
 def like_case(word: Column, original: Column) -> Column:
     """With a capital if the original has one."""
     return F.when(original.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))).otherwise(word)
+
+
+#: Scripts whose layouts follow Latin sounds, and those without capitals.
+PHONETIC = ("Georgian", "Armenian", "Hangul")
+CASELESS = ("Hebrew", "Arabic", "Georgian", "Hangul")
+
+
+def is_blind(script: str) -> bool:
+    """Whether a score of letters tells nothing of the script."""
+    return script in ABJAD or script in PHONETIC
+
+
+def is_blind_pair(a: str, b: str) -> bool:
+    return a in ABJAD or b in ABJAD or "Latin" in (a, b) and (a in PHONETIC or b in PHONETIC)
+
+
+def latin_vowels() -> str:
+    return _vowels("Latin")
+
+
+def marks_folded(word: Column, script: str) -> Column:
+    """Without marks that a script's words may go without; marks inside words as one plain sign or the other."""
+    if script == "Cyrillic":
+        return F.translate(word, "’ʼ", "''")
+    if script == "Hebrew":
+        return F.translate(F.regexp_replace(word, r"[\x{0591}-\x{05AF}\x{05B0}-\x{05C7}]", ""), "׳״", "'\"")
+    if script == "Arabic":
+        return F.regexp_replace(word, r"[\x{064B}-\x{065F}\x{0670}\x{0640}]", "")
+    return F.regexp_replace(word, "[՛՜՞]", "") if script == "Armenian" else word
+
+
+def cedilla_folded(word: Column, romanian: Column) -> Column:
+    return F.when(romanian, F.translate(word, "şţŞŢ", "șțȘȚ")).otherwise(word)

@@ -102,3 +102,34 @@ def fit_after(text: Column, before: Column) -> Column:
     body = F.when(ended, text).otherwise(decapitalised(text))
     joined = (before == "") | before.rlike(r"\s$") | text.rlike(r"^[\s.,!?:;)…]")
     return F.when(joined, body).otherwise(F.concat(F.lit(" "), body))
+
+
+def tail(text: Column, most: int) -> Column:
+    """The last `most` characters of a trimmed text, from the word that begins first in them."""
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    cut = F.right(whole, F.lit(most))
+    space = F.instr(cut, " ")
+    return F.when(F.length(whole) <= most, whole).when((space > 0) & (space < most), F.substr(cut, space + 1)).otherwise(cut)
+
+
+def fitted(terms: Column, room: Column) -> Column:
+    """Terms joined by commas as long as they fit; empty ones and those that stand in it already are skipped, and the
+    first that doesn't fit ends it."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+    def add(acc: Column, raw: Column) -> Column:
+        term = F.trim(raw)
+        skip = acc["full"] | (term == "") | F.contains(acc["text"], term)
+        full = F.length(acc["text"]) + F.length(term) + 2 > room
+        longer = F.when(acc["text"] == "", term).otherwise(F.concat(acc["text"], F.lit(", "), term))
+        return F.when(skip, acc).when(full, F.struct(acc["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(longer.alias("text"), F.lit(False).alias("full")))
+
+    return F.aggregate(terms, start, add, lambda acc: acc["text"])
+
+
+def prompt(sample: Column, terms: Column, before: Column, most: int = 360, most_before: int = 120) -> Column:
+    """A sample, the terms that fit between, and the tail of the text before."""
+    end = tail(before, most_before)
+    found = fitted(terms, F.lit(most) - F.length(sample) - F.length(end) - 2)
+    parts = F.array(sample, F.when(found == "", "").otherwise(F.concat(found, F.lit("."))), end)
+    return F.array_join(F.filter(parts, lambda x: x != ""), " ")

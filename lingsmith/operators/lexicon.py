@@ -114,3 +114,28 @@ def picked(counts: DataFrame, most: int, step: int = 7919, first: int = 13) -> D
     total = counts.agg(F.sum("n").alias("total"))
     places = F.expr(f"filter(sequence(0L, {most - 1}L), i -> (i * {step} + {first}) % total >= lo and (i * {step} + {first}) % total < lo + n)")
     return upto.join(F.broadcast(total)).select(F.explode(places).alias("i"), "word")
+
+
+def fits(words: DataFrame, listed: DataFrame, smoothing: float = 0.5) -> DataFrame:
+    """(word, fit) of words under the model of letters of another list (word, n)."""
+    g = grams(listed.select("word", F.log1p("n").alias("w")))
+    tri = g.groupBy("tri").agg(F.sum("w").alias("t"))
+    ctx = g.groupBy("ctx").agg(F.sum("w").alias("c"))
+    size = listed.select(F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").agg((F.count_distinct("ch") + 1).alias("size"))
+    scored = grams(words.select("word")).join(tri, "tri", "left").join(ctx, "ctx", "left").join(F.broadcast(size))  # one row
+    p = F.log10((F.coalesce("t", F.lit(0.0)) + smoothing) / (F.coalesce("c", F.lit(0.0)) + smoothing * F.col("size")))
+    return scored.groupBy("word").agg(F.round(F.avg(p), 5).alias("fit"))
+
+
+def neighbour_words(words: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:
+    """words with `neighbour`: the own list has them neither as they are nor in small letters, the neighbour's has them."""
+    flag = lambda df, name, key: df.select(F.col("word").alias(key)).distinct().withColumn(name, F.lit(True))
+    x = words.withColumn("_low", F.lower("word"))
+    x = x.join(flag(own, "_own", "word"), "word", "left").join(flag(own, "_own_low", "_low"), "_low", "left").join(flag(near, "_near", "_low"), "_low", "left")
+    return x.withColumn("neighbour", F.col("_own").isNull() & F.col("_own_low").isNull() & F.col("_near").isNotNull()).drop("_low", "_own", "_own_low", "_near")
+
+
+def glossary_words(lines: DataFrame) -> DataFrame:
+    """(word): the words of terms, lines "term|how it sounds|…" of which only the term counts."""
+    term = F.regexp_extract("value", r"^([^|]*)", 1)
+    return lines.select(F.explode(F.regexp_extract_all(term, F.lit(r"(\S+)"), 1)).alias("w")).select(X.letters_key(F.col("w")).alias("word")).filter("word <> ''").distinct()
