@@ -34,5 +34,5 @@ def round_trips(layout: str) -> bool:
 
 def positions() -> list[tuple[str, int, float]]:
     """(key, row, x) of letter keys: rows are set off by a quarter and three quarters of a key."""
-    rows = [("qwertyuiop[]", 0.0), ("asdfghjkl;", 0.25), ("zxcvbnm,.", 0.75)]
+    rows = [("qwertyuiop[]", 0.0), ("asdfghjkl;'", 0.25), ("zxcvbnm,./", 0.75)]
     return [(c, r, i + off) for r, (row, off) in enumerate(rows) for i, c in enumerate(row)]

@@ -133,3 +133,13 @@ def prompt(sample: Column, terms: Column, before: Column, most: int = 360, most_
     found = fitted(terms, F.lit(most) - F.length(sample) - F.length(end) - 2)
     parts = F.array(sample, F.when(found == "", "").otherwise(F.concat(found, F.lit("."))), end)
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")
+
+
+def collapsed(text: Column) -> Column:
+    """one_copy_each, for a column: runs are equal under their keys, not as written, so it runs in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(batch):  # type: ignore[no-untyped-def]
+        return batch.map(one_copy_each, na_action="ignore")
+
+    return run(text)

@@ -54,27 +54,59 @@ def naturalness(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:
     return g.join(tri, ["lang", "tri"]).join(ctx, ["lang", "ctx"]).join(F.broadcast(letters), "lang").groupBy("lang", "word").agg(F.round(F.avg(p), 5).alias("fit"))
 
 
-def deletes(words: DataFrame, prefix: int = 7) -> DataFrame:
-    """(…, variant): the word's start with no letter or any one left out: the index of a lookup by one edit."""
-    start = F.expr(f"substring(word, 1, {prefix})")
-    cut = F.expr(f"transform(sequence(1, length(substring(word, 1, {prefix}))), i -> concat(substring(substring(word, 1, {prefix}), 1, i - 1), substring(substring(word, 1, {prefix}), i + 1)))")
-    return words.withColumn("variant", F.explode(F.array_distinct(F.concat(F.array(start), cut))))
+def deletes(words: DataFrame, most: int = 2, prefix: int = 7) -> DataFrame:
+    """(…, variant): the word's start with up to `most` letters left out: the index of a lookup by as many edits."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    fewer = F.array(F.substring("word", 1, prefix))
+    every = fewer
+    for _ in range(most):
+        fewer = F.array_distinct(F.flatten(F.transform(F.filter(fewer, lambda w: w != ""), cut)))
+        every = F.concat(every, fewer)
+    return words.withColumn("variant", F.explode(F.array_distinct(every)))
+
+
+def fuzzy(typed: DataFrame, listed: DataFrame, most: int = 2, by: list[str] | None = None) -> DataFrame:
+    """(…by, typed, word, dist) of pairs within `most` edits, a swap of neighbours being one: equal variants give
+    candidates, their lengths and then the distance decide. by: columns that both have to share, such as a language."""
+    from lingsmith.functions import slips
+
+    by = by or []
+    a = deletes(typed.select(*by, "word"), most).withColumnRenamed("word", "typed")
+    both = a.join(deletes(listed.select(*by, "word"), most), [*by, "variant"]).filter(F.abs(F.length("typed") - F.length("word")) <= most)
+    # a swap is two plain edits, so what is further apart than twice as many is out before Python sees it
+    near = both.select(*by, "typed", "word").distinct().filter(F.levenshtein("typed", "word", 2 * most) >= 0)
+    return near.withColumn("dist", slips.osa(F.col("typed"), F.col("word"))).filter(F.col("dist") <= most)
+
+
+def nearest(typed: DataFrame, listed: DataFrame, most: int = 2, by: list[str] | None = None) -> DataFrame:
+    """(…by, typed, word, dist): the words at the least distance from each typed one, up to `most` edits, itself aside.
+
+    Words with a neighbour one edit away need no lookup by two, whose index is ten times as large.
+    """
+    by = by or []
+    found = None
+    left = typed.select(*by, "word").distinct()
+    for edits in range(1, most + 1):
+        hits = fuzzy(left, listed, edits, by).filter("dist > 0")
+        hits = hits if edits == 1 else closest(hits, [*by, "typed"])
+        found = hits if found is None else found.union(hits)
+        left = left.join(hits.select(*by, F.col("typed").alias("word")), [*by, "word"], "left_anti")
+    return found
 
 
-def fuzzy(typed: DataFrame, listed: DataFrame, most: int = 1) -> DataFrame:
-    """(typed, word, dist) of pairs within an edit: equal variants give candidates, the distance decides."""
-    a = deletes(typed).withColumnRenamed("word", "typed")
-    both = a.join(deletes(listed), "variant").select("typed", "word").distinct()
-    return both.withColumn("dist", F.levenshtein("typed", "word", most)).filter("dist >= 0")
+def closest(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of pairs (…by, word, dist) those at the least distance of each group."""
+    least = pairs.groupBy(*by).agg(F.min("dist").alias("_least"))
+    return pairs.join(least, by).filter(F.col("dist") == F.col("_least")).drop("_least")
 
 
-def sound_alikes(heard: DataFrame, terms: DataFrame) -> DataFrame:
-    """(heard, term, dist): per heard word the nearest term by sound, then the more frequent, then by name."""
+def sound_alikes(heard: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    """(…by, heard, term, dist): per heard word the nearest term by sound, then the more frequent, then by name."""
     a = heard.withColumn("bones", phonetic.skeleton(F.col("key"))).withColumn("end", F.right("key", F.lit(1))).filter("key <> ''").withColumnRenamed("key", "ka")
     b = terms.withColumn("bones", phonetic.skeleton(F.col("key"))).withColumn("end", F.right("key", F.lit(1))).withColumnRenamed("key", "kb")
-    pairs = a.join(b, ["bones", "end"]).filter(phonetic.close(F.col("ka"), F.col("kb"))).withColumn("dist", F.levenshtein("ka", "kb"))
+    pairs = a.join(b, [*by, "bones", "end"]).filter(phonetic.close(F.col("ka"), F.col("kb"))).withColumn("dist", F.levenshtein("ka", "kb"))
     best = F.min(F.struct("dist", (-F.col("n")).alias("m"), "term")).alias("best")
-    return pairs.groupBy("heard").agg(best).select("heard", "best.term", "best.dist")
+    return pairs.groupBy(*by, "heard").agg(best).select(*by, "heard", "best.term", "best.dist")
 
 
 def both_ways(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingsmith.operators import lexicon as L
@@ -23,20 +23,35 @@ def stems(words: DataFrame, listed: DataFrame, prefixes: list[str], suffixes: li
     return found.groupBy("word").agg(F.min_by("stem", "i").alias("stem"))
 
 
-def best_corrections(typed: DataFrame, listed: DataFrame) -> DataFrame:
-    """(typed, word, dist): per typed word the nearest listed one, then the more frequent, then by name."""
-    pairs = L.fuzzy(typed, listed.select("word")).join(listed, "word")
-    best = F.min(F.struct("dist", (-F.col("n")).alias("m"), "word")).alias("b")
-    return pairs.groupBy("typed").agg(best).select("typed", "b.word", "b.dist")
+def corrections(typed: DataFrame, lists: DataFrame, layout: str | None = None, weight: float = 0.35) -> DataFrame:
+    """(lang, typed, word, dist) of typed (lang, word): of each list the best word, the own language's before others.
+
+    lists: (lang, word, freq). The nearest words of a list count, of those the most frequent; with a layout a word's
+    frequency is lowered by `weight` times what the slip costs on it. Across lists the distance decides, then the
+    frequency, then the own list.
+    """
+    from lingsmith.functions import slips
+
+    asked = typed.select("word").distinct()
+    own = lists.groupBy("word").agg(F.collect_list(F.struct("lang", "freq")).alias("on"))
+    # the distance decides across lists, so no list is asked for what lies beyond the nearest word of any
+    near = L.nearest(asked, own.select("word"))
+    hits = near.join(own, "word").select("typed", "word", "dist", F.explode("on").alias("on")).select("typed", "word", "dist", F.col("on.lang").alias("list"), "on.freq")
+    hits = L.closest(hits, ["typed", "list"])
+    rank = F.col("freq") - weight * slips.typo_cost(F.col("typed"), F.col("word"), layout) if layout else F.col("freq")
+    best = hits.withColumn("rank", rank).groupBy("typed", "list").agg(F.min(F.struct((-F.col("rank")).alias("r"), "word", "dist")).alias("b"))
+    pairs = typed.select("lang", F.col("word").alias("typed")).join(best, "typed")
+    order = F.min(F.struct("b.dist", "b.r", (F.col("list") != F.col("lang")).alias("other"), "list", "b.word")).alias("b")
+    return pairs.groupBy("lang", "typed").agg(order).select("lang", "typed", "b.word", "b.dist")
 
 
 def suggestions(typed: DataFrame, listed: DataFrame, most: int) -> DataFrame:
-    """(typed, suggested): words at the least distance above 0, most frequent first, at most `most` of them."""
-    pairs = L.fuzzy(typed, listed.select("word")).filter("dist > 0").join(listed, "word")
-    order = F.array_sort(F.collect_list(F.struct("dist", (-F.col("n")).alias("m"), "word")))
-    top = pairs.groupBy("typed").agg(order.alias("o"))
-    near = F.filter("o", lambda x: x["dist"] == F.get("o", F.lit(0))["dist"])
-    return top.select("typed", F.array_join(F.transform(F.slice(near, 1, most), lambda x: x["word"]), " ").alias("suggested"))
+    """(lang, typed, suggested): words at the least distance above 0, most frequent first, at most `most` of them."""
+    pairs = L.nearest(typed, listed, by=["lang"]).join(listed, ["lang", "word"])
+    ordered = Window.partitionBy("lang", "typed").orderBy(F.desc("n"), "word")
+    top = pairs.withColumn("_i", F.row_number().over(ordered)).filter(F.col("_i") <= most)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"])
+    return top.groupBy("lang", "typed").agg(F.array_join(words, " ").alias("suggested"))
 
 
 def moved(before: DataFrame, now: DataFrame, key: list[str], value: str, tolerance: float, least: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lingsmith.functions import layouts
+from lingsmith.functions import layouts, slips
 from lingsmith.functions import text as X
 from lingsmith.operators import lexicon as L
 from lingsmith.operators import lookup as K
@@ -35,7 +35,7 @@ def r03_digit_counts(spark, d):
     return lists.digits_last(t(spark, d, "part").select(F.concat_ws(" ", "p_type", size).alias("value"))).withColumnRenamed("value", "line")
 
 
-@query("select p_name as form from part")
+@query("select split_part(p_type || chr(9) || p_name || chr(9) || p_brand, chr(9), 2) as form from part")
 def r08_second_column(spark, d):
     return lists.tab_column(_part_lines(spark, d, "p_type", "p_name", "p_brand", by="\t"), 1).withColumnRenamed("field", "form")
 
@@ -115,28 +115,45 @@ def j04_lexicon_variants(spark, d):
     return _counts(spark, d).filter("length(word) >= 4").select("lang", variants).groupBy("word").agg(F.count_distinct("lang").alias("lists"))
 
 
-_K = f"(select word, n from {WORDS} where lang = 'en' and n >= 3 and length(word) between 4 and 9)"
-_PAIRS = f"(select y.typed, k.word, k.n, levenshtein(y.typed, k.word)::int as dist from (select distinct substr(word, 1, 1) || substr(word, 3) as typed from {_K}) y, {_K} k where levenshtein(y.typed, k.word) <= 1)"
+def _slips(counts):
+    """Words with their second letter left out, where that is no word of the same list (the reference looks up no known word)."""
+    cut = counts.filter("length(word) >= 3").select("lang", F.expr("concat(substring(word, 1, 1), substring(word, 3))").alias("word")).distinct()
+    return cut.join(counts.select("lang", "word"), ["lang", "word"], "left_anti")
 
 
-def _typed(k):
-    return k.select(F.expr("concat(substring(word, 1, 1), substring(word, 3))").alias("word")).distinct()
-
-
-def _common(spark, d):
-    return _of(spark, d, "en").filter("n >= 3 and length(word) between 4 and 9")
+@query(None)
+def j05_fuzzy_lookup(spark, d):
+    """The nearest words of each list within two edits of each slip; the 100,000 commonest words of a list are indexed."""
+    c = _counts(spark, d)
+    return L.nearest(_slips(c), L.top_words(c, 100_000), by=["lang"])
 
 
-@query(f"select typed, word, dist from (select *, row_number() over (partition by typed order by dist, n desc, word) as r from {_PAIRS}) where r = 1")
+@query(None)
 def j06_best_correction(spark, d):
-    k = _common(spark, d)
-    return K.best_corrections(_typed(k), k)
+    """One correction of each slip, over the lists of all languages, its own language's before others."""
+    c = _counts(spark, d)
+    return K.corrections(_slips(c), L.log_frequency(c).select("lang", "word", "freq"))
 
 
-@query(f"select typed, array_to_string(list(word order by n desc, word)[:12], ' ') as suggested from {_PAIRS} where dist > 0 group by 1")
+@query(None)
 def j07_suggestions(spark, d):
-    k = _common(spark, d)
-    return K.suggestions(_typed(k), k, 12)
+    c = _counts(spark, d)
+    return K.suggestions(_slips(c), c, 12)
+
+
+@query(None)
+def x30_slip_costs(spark, d):
+    """Slips and their nearest words with what the slip costs on the US keyboard."""
+    c = _counts(spark, d)
+    pairs = L.nearest(_slips(c), c, by=["lang"])
+    return pairs.select("lang", "typed", "word", F.round(slips.typo_cost(F.col("typed"), F.col("word"), "en"), 6).alias("cost"))
+
+
+@query(f"select lang, word, swapped, (word <> swapped)::int as dist from (select lang, word, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) as swapped from {WORDS} where length(word) >= 3)")
+def x31_swap_distance(spark, d):
+    """Words and the same words with two letters swapped: one edit, or none where they are equal."""
+    w = _counts(spark, d).filter("length(word) >= 3").select("lang", "word", X.swapped(F.col("word"), F.lit(2)).alias("swapped"))
+    return w.withColumn("dist", slips.osa(F.col("word"), F.col("swapped")))
 
 
 _A = "(select * from (values (0, 'th', ''), (1, 're', ''), (2, '', 'ed'), (3, '', 'ing')) v(i, p, s))"
@@ -166,7 +183,7 @@ def e13_baseline_compare(spark, d):
 
 
 def _keys_sql() -> str:
-    return ", ".join(f"('{c}', {r}, {x})" for c, r, x in layouts.positions())
+    return ", ".join(f"('{c.replace(chr(39), 2 * chr(39))}', {r}, {x})" for c, r, x in layouts.positions())
 
 
 @query(f"with k as (select * from (values {_keys_sql()}) v(ch, r, x)) select a.ch as a, b.ch as b from k a, k b where a.ch <> b.ch and abs(a.r - b.r) <= 1 and abs(a.x - b.x) <= 1.0")
@@ -174,11 +191,11 @@ def s16_neighbouring_keys(spark, d):
     return K.neighbours(spark.createDataFrame(layouts.positions(), "ch string, row int, x double"))
 
 
-@query(f"select word, word || repeat(right(word, 1), 1) as doubled, substr(word, 1, 1) || substr(word, 3) as dropped, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) as swapped from {_K}")
+@query(f"select word, word || repeat(right(word, 1), 1) as doubled, substr(word, 1, 1) || substr(word, 3) as dropped, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) as swapped from (select distinct word from {WORDS})")
 def e03_typos(spark, d):
     """Slips at fixed places: the last letter doubled, the second dropped, the second and third swapped (E04)."""
     w = F.col("word")
-    return _common(spark, d).select("word", F.concat(w, F.right(w, F.lit(1))).alias("doubled"), F.expr("concat(substring(word, 1, 1), substring(word, 3))").alias("dropped"), X.swapped(w, F.lit(2)).alias("swapped"))
+    return _counts(spark, d).select("word").distinct().select("word", F.concat(w, F.right(w, F.lit(1))).alias("doubled"), F.expr("concat(substring(word, 1, 1), substring(word, 3))").alias("dropped"), X.swapped(w, F.lit(2)).alias("swapped"))
 
 
 @query(f"with c as (select word, n, (sum(n) over (order by n desc, word rows unbounded preceding) - n)::bigint as lo, sum(n) over ()::bigint as total from {WORDS} where lang = 'fr'), p as (select unnest(range(0, 50)) as i) select i, word from p, c where (i * 7919 + 13) % total >= lo and (i * 7919 + 13) % total < lo + n")

@@ -15,16 +15,16 @@ def _counts(spark, d):
     return L.word_counts(t(spark, d, "documents"))
 
 
-_FIT = f"""with k as {WORDS}, c as (select *, ln(1+n) as w, unnest(range(1, length(word) + 2)) as i from k),
+_FIT = f"""with k as materialized {WORDS}, c as (select *, ln(1+n) as w, unnest(range(1, length(word) + 2)) as i from k),
 g as (select lang, word, w, substr('^^' || word || '$', i, 3) as tri, substr('^^' || word || '$', i, 2) as ctx from c),
 tt as (select lang, tri, sum(w) as t from g group by all), cc as (select lang, ctx, sum(w) as c from g group by all),
 a as (select lang, count(distinct ch) + 1 as size from (select lang, unnest(string_split(word, '')) as ch from k) group by 1),
 ways as (select lang, word, n, false as back, word as s from k union all select lang, word, n, true, reverse(word) from k),
 h as (select lang, word, n, back, substr('^^' || s || '$', i, 3) as tri, substr('^^' || s || '$', i, 2) as ctx from (select *, unnest(range(1, length(s) + 2)) as i from ways)),
-fit as (select lang, word, any_value(n) as n, back, round(avg(log10((coalesce(t, 0) + 0.5) / (coalesce(c, 0) + 0.5 * size))), 6) as fit from h left join tt using (lang, tri) left join cc using (lang, ctx) join a using (lang) group by lang, word, back),
+fit as materialized (select lang, word, any_value(n) as n, back, round(avg(log10((coalesce(t, 0) + 0.5) / (coalesce(c, 0) + 0.5 * size))), 6) as fit from h left join tt using (lang, tri) left join cc using (lang, ctx) join a using (lang) group by lang, word, back),
 cum as (select lang, back, fit, sum(n) over (partition by lang, back order by fit) as upto, sum(n) over (partition by lang, back) as total from fit),
 med as (select lang, back, min(fit) as median from cum where upto >= total / 2 group by all),
-cal as (select h.lang, h.median as hi, l.median as lo from med h join med l on h.lang = l.lang and not h.back and l.back where h.median - l.median >= 0.1)"""
+cal as materialized (select h.lang, h.median as hi, l.median as lo from med h join med l on h.lang = l.lang and not h.back and l.back where h.median - l.median >= 0.1)"""
 
 
 @query(_FIT + " select lang, back, median from med")

@@ -79,7 +79,11 @@ _DOUBLE = r"regexp_matches({0}, '^\p{{Lu}}{{2}}\p{{Ll}}+$') and not (ends_with({
 _SLIPPED = "regexp_replace(text, '(^|[^\\p{L}])(\\p{Lu})e(\\p{Ll}+)', '\\1\\2E\\3', 'g')"
 
 
-@query(f"with k as (select distinct word from {WORDS} where n > 3) select doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(x, '(?s)(\\p{{L}}+|[^\\p{{L}}]+)'), lambda w: case when {_DOUBLE.format('w')} and lower(w) in (select word from k) then substr(w, 1, 1) || lower(substr(w, 2, 1)) || substr(w, 3) else w end), ''), '') as text from (select doc_id, {_SLIPPED} as x from documents)")
+_SLIPS = f"(select doc_id, {_SLIPPED} as x from documents)"
+_RIGHT = f"(select coalesce(list(w), []) as known from (select distinct w from (select unnest(regexp_extract_all(x, '\\p{{L}}+')) as w from {_SLIPS}) where {_DOUBLE.format('w')} and lower(w) in (select word from {WORDS} where n > 3)))"
+
+
+@query(f"select doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(x, '(?s)(\\p{{L}}+|[^\\p{{L}}]+)'), lambda w: case when length(w) > 2 and list_contains(known, w) then substr(w, 1, 1) || lower(substr(w, 2, 1)) || substr(w, 3) else w end), ''), '') as text from {_SLIPS}, {_RIGHT}")
 def x13_double_capitals(spark, d):
     """Words begun with two capitals are put right where their small form is known."""
     slipped = F.regexp_replace("text", r"(^|[^\p{L}])(\p{Lu})e(\p{Ll}+)", "$1$2E$3")
@@ -107,7 +111,7 @@ def o13_word_tails(spark, d):
 
 
 def _room(chars: str) -> str:
-    return f"(select conv_id, turn, coalesce(string_agg(term, ', ' order by i), '') as terms from (select conv_id, turn, term, i, bool_and(upto + 2 * (i - 1) + 2 <= {chars}) over (partition by conv_id, turn order by i) as fits from (select conv_id, turn, term, i, sum(length(term)) over (partition by conv_id, turn order by i) as upto, room from (select conv_id, turn, {{room}} as room from {{rows}}), (select unnest([{', '.join(map(_text, _KEPT_TERMS))}]) as term, generate_subscripts([{', '.join(map(_text, _KEPT_TERMS))}], 1) as i))) where fits group by all)"
+    return f"(select conv_id, turn, coalesce(string_agg(term, ', ' order by i), '') as terms from (select conv_id, turn, term, i, bool_and(upto + 2 * greatest(i - 2, 0) + 2 <= {chars}) over (partition by conv_id, turn order by i) as fits from (select conv_id, turn, term, i, sum(length(term)) over (partition by conv_id, turn order by i) as upto, room from (select conv_id, turn, {{room}} as room from {{rows}}), (select unnest([{', '.join(map(_text, _KEPT_TERMS))}]) as term, generate_subscripts([{', '.join(map(_text, _KEPT_TERMS))}], 1) as i))) where fits group by all)"
 
 
 @query("select c.conv_id, c.turn, coalesce(terms, '') as terms from conversations c left join " + _room("room").format(room="length(role) + turn * 7", rows="conversations") + " t using (conv_id, turn)")

@@ -85,16 +85,16 @@ def x24_heard_key(spark, d):
     return words.select("word", phonetic.heard(transliterate.rewritten(F.col("word"), transliterate.CYRILLIC_IN)).alias("key"))
 
 
-@query(f"""with k as (select word, n, {phonetic.sql('word')} as key from {WORDS} where lang = 'en'),
-a as (select word as heard, key as ka from k where n = 2), b as (select word as term, n, key as kb from k where n >= 20),
-c as (select heard, term, levenshtein(ka, kb)::int as dist, row_number() over (partition by heard order by levenshtein(ka, kb), n desc, term) as r from a, b
-where ka <> '' and right(ka, 1) = right(kb, 1) and translate(ka, 'aeiou', '') = translate(kb, 'aeiou', '')
-and levenshtein(ka, kb) <= case when greatest(length(ka), length(kb)) <= 4 then 0 when greatest(length(ka), length(kb)) <= 7 then 1 else 2 end)
-select heard, term, dist from c where r = 1""")
+@query(f"""with k as materialized (select lang, word, n, key, right(key, 1) as last, translate(key, 'aeiou', '') as bones from (select lang, word, n, {phonetic.sql('word')} as key from {WORDS})),
+a as (select lang, word as heard, key as ka, last, bones from k where n < 20 and key <> ''), b as (select lang, word as term, n, key as kb, last, bones from k where n >= 20),
+c as (select a.lang, heard, term, levenshtein(ka, kb)::int as dist, row_number() over (partition by a.lang, heard order by levenshtein(ka, kb), n desc, term) as r from a join b using (lang, last, bones)
+where levenshtein(ka, kb) <= case when greatest(length(ka), length(kb)) <= 4 then 0 when greatest(length(ka), length(kb)) <= 7 then 1 else 2 end)
+select lang, heard, term, dist from c where r = 1""")
 def j09_term_lookup(spark, d):
-    """The nearest frequent word that sounds like each rare one (X27 inside)."""
-    k = L.word_counts(_docs(spark, d)).filter("lang = 'en'").withColumn("key", phonetic.english(F.col("word")))
-    return L.sound_alikes(k.filter("n = 2").select(F.col("word").alias("heard"), "key"), k.filter("n >= 20").select(F.col("word").alias("term"), "n", "key"))
+    """The nearest frequent word of its language that sounds like each word of fewer than 20 occurrences."""
+    # behind an aggregation, so that the long chain of rewrites is not copied into each use of the key
+    k = L.word_counts(_docs(spark, d)).withColumn("key", phonetic.english(F.col("word"))).groupBy("lang", "word").agg(F.max("n").alias("n"), F.max("key").alias("key"))
+    return L.sound_alikes(k.filter("n < 20").select("lang", F.col("word").alias("heard"), "key"), k.filter("n >= 20").select("lang", F.col("word").alias("term"), "n", "key"), ["lang"])
 
 
 @query(f"select word, strip_accents(word) as bare from {_VOCABULARY}")
