@@ -219,4 +219,4 @@ def o11_loops_removed(spark, d):
     return x.withColumn("p", F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))).filter(~F.col("p").eqNullSafe(F.col("line"))).select("doc_id", "pos", "line")
 
 
-from lingsmith.plans import files, keyboards, lookups, models, stateful, texts, transforms, words  # noqa: E402, F401  (each registers its queries)
+from lingsmith.plans import brain, files, keyboards, lookups, models, stateful, texts, transforms, words  # noqa: E402, F401  (each registers its queries)
