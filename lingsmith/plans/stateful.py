@@ -81,3 +81,68 @@ def m16_layout_changes(spark, d):
     x = _events(spark, d).withColumn("now", now)
     x = x.withColumn("was", F.lag("now").over(keys.by_user()))
     return x.filter(~F.col("now").eqNullSafe(F.col("was")) & F.col("was").isNotNull()).select("event_id", F.col("now").alias("layout"))
+
+
+_MARKED = r"(select doc_id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as w from (select doc_id, regexp_extract_all(text, '\p{L}+') as x from documents))"
+
+
+@query(f"select doc_id, pos, case when last_value(case when length(w) % 7 = 0 then 'across' when length(w) >= 3 then 'none' end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) = 'across' then 'across' end as direction from {_MARKED}")
+def m04_sticky_direction(spark, d):
+    """The direction that automatic correction has before each word of a text."""
+    w = t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("pos", "w"))
+    n = F.length("w")
+    marked = w.select("doc_id", F.col("pos").cast("long").alias("pos"), (n % 7 == 0).alias("crossed"), ((n % 7 != 0) & (n >= 3)).alias("settled"))
+    return state.sticky_direction(marked, ["doc_id"]).select("doc_id", "pos", "direction")
+
+
+def _ring(d_sql: bool = False):
+    from lingsmith.functions import keyboards as B
+
+    return [B.transcode(F.col("p_name"), "en", n) for n in ("uk", "ru", "bg")]
+
+
+def _ring_sql() -> str:
+    from lingsmith.functions import keyboards as B
+    from lingsmith.plans.keyboards import _read
+
+    uk, ru, bg = (_read("p_name", B.rules(("en",), n)) for n in ("uk", "ru", "bg"))
+    return f"(select p_partkey, p_name, list_filter([case when uk <> p_name then uk end, case when ru not in (uk, p_name) then ru end, case when bg not in (uk, ru, p_name) then bg end, p_name], lambda x: x is not null) as ring from (select p_partkey, p_name, {uk} as uk, {ru} as ru, {bg} as bg from part))"
+
+
+def _rings(spark, d):
+    x = F.array_distinct(F.array(*_ring()))
+    return t(spark, d, "part").select("p_partkey", "p_name", F.array_append(F.filter(x, lambda r: r != F.col("p_name")), F.col("p_name")).alias("ring"))
+
+
+@query(f"select p_partkey, presses, ring[(presses - 1) % len(ring) + 1] as shown from {_ring_sql()}, (select unnest(range(1, 11)) as presses)")
+def m05_hotkey_ring(spark, d):
+    """What ten presses of the hotkey show: each distinct reading, then the original, and round again."""
+    press = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("presses")
+    shown = F.element_at("ring", ((F.col("presses") - 1) % F.size("ring") + 1).cast("int"))
+    return _rings(spark, d).select("p_partkey", "ring", press).select("p_partkey", F.col("presses").cast("long").alias("presses"), shown.alias("shown"))
+
+
+@query(f"select p_partkey, true as comes_back, len(ring) = len(list_distinct(ring)) as no_repeats from {_ring_sql()}")
+def e16_circle_comes_back(spark, d):
+    """As many presses as the ring has readings come back to the original, and no reading comes twice."""
+    return _rings(spark, d).select("p_partkey", (F.element_at("ring", -1) == F.col("p_name")).alias("comes_back"), (F.size("ring") == F.size(F.array_distinct("ring"))).alias("no_repeats"))
+
+
+@query(f"select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as rejections, row_number() over (partition by user_id order by ts, event_id) >= 3 as listed from (select *, event_type = 'error' and lag(event_type) over w = 'purchase' and ts - lag(ts) over w <= interval 20000 second as hit from events {_W}) where hit")
+def m06_fixes_undone(spark, d):
+    return state.undone(_events(spark, d), "purchase", "error", 20_000, 3)
+
+
+@query(None)
+def m08_dictation_parts(spark, d):
+    return state.parts(_events(spark, d), 7200, 2400, 36_000, 86_400)
+
+
+@query(f"select event_id, case when held is null or held >= interval 1800 second then 'hold' when nxt = 'view' then 'tap' else 'spoiled' end as chord from (select event_id, event_type, lead(event_type) over w as nxt, lead(ts) over w - ts as held from events {_W}) where event_type = 'click'")
+def m17_held_chords(spark, d):
+    return state.chords(_events(spark, d), "click", "view", 1_800_000_000)
+
+
+@query(None)
+def m18_pending_tails(spark, d):
+    return state.tails(_events(spark, d), "purchase", "error")

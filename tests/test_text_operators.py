@@ -84,13 +84,14 @@ def test_scripts(spark):
 
 
 def test_lookups(spark):
-    listed = spark.createDataFrame([("walk", 5), ("talk", 9), ("king", 2)], "word string, n long")
-    typed = spark.createDataFrame([("wakl",), ("alk",), ("zzzz",)], "word string")
-    assert [tuple(r) for r in K.best_corrections(typed, listed).collect()] == [("alk", "talk", 1)]
-    assert [tuple(r) for r in K.suggestions(typed, listed, 5).collect()] == [("alk", "talk walk")]
+    listed = spark.createDataFrame([("en", "walk", 5), ("en", "talk", 9), ("en", "king", 2), ("de", "volk", 3)], "lang string, word string, n long")
+    typed = spark.createDataFrame([("en", "wakl"), ("en", "alk"), ("de", "alk"), ("en", "zzzz")], "lang string, word string")
+    lists = listed.withColumn("freq", F.col("n") / 9.0)
+    assert sorted(map(tuple, K.corrections(typed, lists).collect())) == [("de", "alk", "talk", 1), ("en", "alk", "talk", 1), ("en", "wakl", "walk", 1)]
+    assert sorted(map(tuple, K.suggestions(typed, listed, 5).collect())) == [("de", "alk", "volk"), ("en", "alk", "talk walk"), ("en", "wakl", "walk")]
     words = spark.createDataFrame([("walking",), ("rewalked",), ("king",)], "word string")
     assert [tuple(r) for r in K.stems(words, listed, ["re"], ["ing", "ed"], 3).collect()] == [("walking", "walk")]
-    assert K.best_corrections(typed.limit(0), listed).count() == 0
+    assert K.corrections(typed.limit(0), lists).count() == 0
     none = spark.createDataFrame([], "u long, target string, electing boolean")
     assert votes.elected(none, ["u"], "x").count() == 0
 
@@ -101,3 +102,37 @@ def test_taps_and_buffers(spark):
     assert sorted(r.event_id for r in state.double_taps(events, 1_000_000).collect()) == [1, 3, 6]
     got = state.typed_buffers(events, 60, "/", "<").collect()
     assert sorted((r.line, r.typed) for r in got) == [(0, "aac"), (1, "d")]
+
+
+def test_two_edits_against_all_pairs(spark):
+    """Every pair within two edits, with swaps, is found; prices of slips equal a plain table."""
+    import random
+
+    from lingsmith.functions import slips
+    from lingsmith.operators import lexicon as L
+
+    def plain(a, b, price=None):
+        near = lambda x, y: bool(slips._near(__import__("numpy").array([ord(x)]), __import__("numpy").array([ord(y)]), "en")[0])
+        extra = lambda i: 1.0 if price is None else 0.6 if i and a[i] == a[i - 1] or i and near(a[i], a[i - 1]) or i + 1 < len(a) and near(a[i], a[i + 1]) else 1.2
+        d = {(0, 0): 0.0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i or j:
+                    ways = [d[i - 1, j] + extra(i - 1)] if i else []
+                    ways += [d[i, j - 1] + (1 if price is None else 0.8)] if j else []
+                    ways += [d[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else 1 if price is None else 0.6 if near(a[i - 1], b[j - 1]) else 1.4)] if i and j else []
+                    if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and (price is None or a[i - 1] != a[i - 2]):
+                        ways.append(d[i - 2, j - 2] + (1 if price is None else 0.7))
+                    d[i, j] = min(ways)
+        return d[len(a), len(b)]
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 10))) for _ in range(160)})
+    typed = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 10))) for _ in range(60)})
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    want = {(a, b, int(plain(a, b))) for a in typed for b in words if plain(a, b) <= 2}
+    assert {tuple(r) for r in L.fuzzy(frame(typed), frame(words)).collect()} == want
+    least = {a: min(n for x, _, n in want if x == a and n) for a in {x for x, _, n in want if n}}
+    assert {tuple(r) for r in L.nearest(frame(typed), frame(words)).collect()} == {(a, b, n) for a, b, n in want if n and n == least[a]}
+    pairs = [(a, b) for a in typed[:25] for b in words[:25]]
+    assert all(abs(x - plain(a, b, "en")) < 1e-9 for (a, b), x in zip(pairs, slips.distances([a for a, _ in pairs], [b for _, b in pairs], "en")))
