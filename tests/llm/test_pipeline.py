@@ -40,3 +40,24 @@ def test_stages(spark):
     assert sum(r["length"] for r in packed) == sum(n * (len(tok.encode(rows[4][d], add_special_tokens=False).ids) + 1) for d, n in times.items())
     once = corpus_pipeline.STAGES[-1][1](spark, kept[3], SF).collect()
     check_packed(once, 2048, {d: tok.encode(t, add_special_tokens=False).ids + [0] for d, t in rows[3].items()})
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, a very long one, repeated rows, one id twice, columns with other stages' names; no rows."""
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    line = "a line of text that several documents hold in common"
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, long, "en", None, 1), (4, f"{line}\nand one of its own here", None, "b", 2), (5, f"{line}\nquite another one", "en", "b", 2), (5, f"{line}\nquite another one", "en", "b", 2), (6, "one id", "en", "c", 1), (6, "with two texts", "en", "c", 1), (None, "no id at all", "en", "c", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], schema + ", n_lines int, key string")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        assert sorted(out.columns) == sorted(docs.columns)
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    got = docs.collect()
+    assert {r.doc_id for r in got} >= {1, 2, 3, 4, 6, None} and {r.text for r in got if r.doc_id == 6} == {"one id", "with two texts"}
+    assert next(r.text for r in got if r.doc_id == 5) == "quite another one"
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= len(got)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0

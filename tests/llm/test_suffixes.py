@@ -49,6 +49,18 @@ def test_odd(spark, monkeypatch):
     assert suffixes.dedup(spark, df.limit(0)).count() == 0
 
 
+def test_hot_passage(spark):
+    """A passage that most rows share, whole and cut, among copies of whole texts."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    hot, copy = words(120), words(150)
+    rows = [(i, words(rng.randrange(5, 40)) + " " + (hot if i % 3 else hot[: rng.randrange(300, 700)]) + " " + words(20)) for i in range(150)]
+    rows += [(1000 + i, copy if i % 2 else words(80)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = plain(rows, 400)
+    assert sorted(map(tuple, suffixes.dedup(spark, df).collect()), key=str) == want and sum(r[2] > 0 for r in want) > 100
+
+
 def test_shards_and_hot_groups(monkeypatch):
     texts = [(t or "").encode() for _, t in odd_rows() if t]
     want = [[i for i in range(len(t) - 399) if sum(u.count(t[i : i + 400]) + (u.find(t[i : i + 400], u.find(t[i : i + 400]) + 1) > 0) for u in texts) > 1] for t in texts]
