@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written before the next reads
 it. All but the last return the columns of documents.
+
+Defined cases: null and empty texts are scored like others and pass the line and Jaccard stages as they are; a very long
+text is worked on whole; repeated rows are one document to the line and Jaccard stages, and one of them stays; rows of one
+id with different texts both stay, rows without an id all do; ties go to the smallest id; a table without rows gives none;
+other columns are kept, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
