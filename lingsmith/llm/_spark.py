@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder the cluster shares (spark.checkpoint.dir). Where it is unset, a local session takes a temporary one; on
+    a cluster that would be a different folder on each machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         found = tempfile.mkdtemp(prefix="lingsmith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,20 +62,6 @@ def id_bounds(df: DataFrame, column: str, rows_a_bucket: int = 4096, most: int =
     return sorted({int(x) for x in cuts})
 
 
-def bucket_of(column: Column, bounds: list[int]) -> Column:
-    """Number of the id range a row is in; null ids come first."""
-    if not bounds:
-        return F.lit(0)
-    # binary search, unrolled into nested conditions
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < bounds[mid], node(lo, mid)).otherwise(node(mid + 1, hi))
-
-    return F.when(column.isNull(), F.lit(0)).otherwise(node(0, len(bounds)))
-
-
 def buckets(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, ids, side="right").astype(np.int32)
 

@@ -11,7 +11,7 @@ are compared in blocks. Last, the vectors of each component are compared in bloc
 are exact.
 
 Defined cases: null, zero and non-finite vectors, and vectors without a label, link with nothing; vectors of
-different lengths don't link; equal vectors link; rows with the same id count as linked; an empty table gives no
+different lengths don't link; equal vectors link; labels of any type are told apart by their text; rows with the same id count as linked; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -86,13 +86,16 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = v.values
             ok = v.is_valid and len(x) > 0 and x.null_count == 0
             x = x.to_numpy(zero_copy_only=False).astype(np.float64) if ok else np.zeros(1)
-            size = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
+            # by the largest component first, so that the squares of huge and tiny vectors stay in range
+            top = float(np.abs(x).max()) if np.isfinite(x).all() else 0.0
+            x = x / top if top > 0 else x
+            size = math.sqrt(float(x @ x)) if top > 0 else 0.0
             keep.append(size > 0 and math.isfinite(size))
             body.append((x / size).tobytes() if keep[-1] else b"")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())], ["id", "label", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], seed: int, bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], seed: int, bits: dict[str, int]) -> Iterator[pa.RecordBatch]:
     planes: dict[int, np.ndarray] = {}
     most = max(bits.values(), default=0)
     for batch in batches:
@@ -195,7 +198,7 @@ def _counts(rows: list[tuple], least: float) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(total), pa.array(others)], ["rep", "n", "others"])
 
 
-def _audit(batches: Iterator[pa.RecordBatch], asked: list[tuple[int, int, bytes]], least: float) -> Iterator[pa.RecordBatch]:
+def _audit(batches: Iterator[pa.RecordBatch], asked: list[tuple[int, str, bytes]], least: float) -> Iterator[pa.RecordBatch]:
     """For each audited vector, the vectors it links with in this task's rows by comparing all, itself left out."""
     by: dict[tuple, tuple[list[int], np.ndarray]] = {}
     for q, label, v in asked:
@@ -232,9 +235,11 @@ def _cells(spark: SparkSession, rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def links(spark: SparkSession, df: DataFrame, least: float = 0.93, k: int = 16, recall: float = 0.995, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
-    unit = staged(spark, rows.filter("id is not null and label is not null and v is not null").mapInArrow(_unit, "id long, label long, v binary"))
+    """(vec_id, n_links, component_id, kept, audited_recall) of every row; the last is the same for all: the share of the
+    audited vectors' links that were found.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
+    unit = staged(spark, rows.filter("id is not null and label is not null and v is not null").mapInArrow(_unit, "id long, label string, v binary"))
     same = unit.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("m"))
     reps = staged(spark, same.select(F.monotonically_increasing_id().alias("rep"), "label", "v", "id", "m"))
     member = staged(spark, unit.join(reps.select("label", "v", "rep", F.col("id").alias("first")), ["label", "v"]).select("id", "rep", "first"))
@@ -252,7 +257,7 @@ def links(spark: SparkSession, df: DataFrame, least: float = 0.93, k: int = 16,
         if t < most:
             asking = [label for label, b in bits.items() if t < _rounds(b, least, recall)]
             dealt = nodes if t < ROUNDS or t >= first else nodes.filter(F.col("label").isin(asking))
-            leaved = dealt.mapInArrow(lambda it, t=t: _leaves(it, t, bits), "id long, label long, v binary, leaf long")
+            leaved = dealt.mapInArrow(lambda it, t=t: _leaves(it, t, bits), "id long, label string, v binary, leaf long")
             leaved = leaved.withColumn("size", F.octet_length("v")).withColumn("m", F.lit(1))
             long = leaved.groupBy("label", "leaf", "size").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_LEAF)
             short = leaved.join(long, ["label", "leaf", "size"], "left_anti").select("label", "leaf", "size", "id", "v")
@@ -271,9 +276,10 @@ def links(spark: SparkSession, df: DataFrame, least: float = 0.93, k: int = 16,
         inside = reps.join(found, "id").select("component", "label", F.octet_length("v").alias("size"), F.col("rep").alias("id"), "v", "m")
         counts = staged(spark, _cells(spark, inside, ["component", "label", "size"]).mapInArrow(lambda it: _by_group(it, 4, lambda g: _counts(g, least)), "rep long, n long, others long").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("others").alias("others")))
         got = {r["rep"]: r["others"] for r in counts.join(F.broadcast(sample), "rep").collect()}
-        if sum(min(got.get(q, 0), n) / n for q, n in true.items()) >= recall * len(true):
+        reached = sum(min(got.get(q, 0), n) / n for q, n in true.items()) / len(true) if true else 1.0
+        if reached >= recall:
             break
     links_of = member.join(counts, "rep").groupBy("id").agg(F.sum("n").alias("n_links"))
     out = df.select(F.col(id_col).cast("long").alias("vec_id")).join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(links_of.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(1.0 if t == most else reached).alias("audited_recall"))
