@@ -4,7 +4,8 @@ Sets of word 3-grams link when their Jaccard similarity reaches the threshold. E
 sets are found first: sets that share one of their LEAST least hashes are compared with their likeliest partner only, by
 a sketch whose bound is exact. Then each set puts its rarest elements (as many as a partner must share one of) into
 index lists. A list is read in blocks by size and position: blocks whose sizes or positions rule a link out are skipped
-whole. Answers are derived from those of similar sets: lists whose members are all of one group are skipped; in the
+whole. Answers are derived from those of similar sets: lists whose members are all of one group are skipped, before and
+after each member has been compared with its likeliest partner of another group; in the
 others the distances from one member of a group to all others are computed, and those of the group's other members
 follow from them by the triangle inequality where that rules a link out. Every pair that is left open is verified on the
 texts. Links inside a group that its first pairs have joined are neither looked for nor counted.
@@ -220,12 +221,12 @@ def reached(group: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.nd
     return row[inverse], np.array([np.bitwise_count(x ^ x[lead[g]]).sum(1, dtype=np.int64) for g in several]).reshape(-1, len(group))
 
 
-def compared(size: np.ndarray, pos: np.ndarray, group: np.ndarray | None, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def compared(size: np.ndarray, pos: np.ndarray, group: np.ndarray | None, sketches: list[bytes], percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of one list, which come by size, that may link.
 
     A block is left out when its least size is beyond what any member of the other could link with, or when even
     the best positions leave too few common elements. With groups, pairs of one group are left out, and so are those
-    that the distances of their groups' first members rule out; without, each member has the likeliest of those before
+    that the distances of their groups' first members rule out. nearest: each member has the likeliest of those before
     it only.
     """
     n, out = len(size), []
@@ -267,23 +268,32 @@ def compared(size: np.ndarray, pos: np.ndarray, group: np.ndarray | None, sketch
                 total = size[ii] + size[jj]
                 ok = apart * (100 + percent) <= (100 - percent) * total
                 ii, jj, ratio = ii[ok], jj[ok], apart[ok] / total[ok]
-                if group is not None:
+                if not nearest:
                     out.append(np.stack([ii, jj]))
                     continue
                 order = np.lexsort((ii, ratio, jj))
                 lead = order[np.append(True, jj[order][1:] != jj[order][:-1])] if len(order) else order
                 lead = lead[ratio[lead] < best[jj[lead]]]
                 best[jj[lead]], who[jj[lead]] = ratio[lead], ii[lead]
-    if group is None:
+    if nearest:
         j = np.flatnonzero(who >= 0)
         return who[j], j
     return tuple(np.concatenate(out, 1)) if out else (who[:0], who[:0])
 
 
-def _listed(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from lists (token, cell, size, pos, key, group, sketch) that come whole, in order of size."""
-    seen: set[tuple[int, int]] = set()
+def _listed(batches: Iterator[pa.RecordBatch], percent: int, grouped: bool, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs from lists (token, cell, size, pos, key, group, sketch) that come whole, in order of size; a pair
+    comes once a batch."""
     left: pa.Table | None = None
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            found = np.unique(np.concatenate(held, 1), axis=1)
+            held.clear()
+            for at in range(0, found.shape[1], 100_000):
+                part = found[:, at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[0].copy()), pa.array(part[1].copy())], ["a", "b"])
 
     def pairs(rows: pa.Table, last_too: bool):
         nonlocal left
@@ -293,19 +303,16 @@ def _listed(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> I
         done = len(start) - 1 if last_too else len(start) - 2
         left = rows.slice(start[done]) if start[done] < len(rows) else None
         sketches = rows.slice(0, start[done]).column(6).to_pylist()
-        new: set[tuple[int, int]] = set()
         for a, b in zip(start[:done].tolist(), start[1 : done + 1].tolist()):
             if b - a > 1:
-                i, j = compared(size[a:b], pos[a:b], None if nearest else group[a:b], sketches[a:b], percent)
+                i, j = compared(size[a:b], pos[a:b], group[a:b] if grouped else None, sketches[a:b], percent, nearest)
                 x, y = key[a + i], key[a + j]
-                new.update(zip(np.minimum(x, y)[x != y].tolist(), np.maximum(x, y)[x != y].tolist()))
-        new -= seen
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(new)
-        if new:
-            found = np.array(sorted(new), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+                other = x != y
+                if other.any():
+                    held.append(np.stack([np.minimum(x, y)[other], np.maximum(x, y)[other]]))
+                if sum(h.shape[1] for h in held) > 500_000:
+                    yield from out()
+        yield from out()
 
     for batch in batches:
         if batch.num_rows:
@@ -394,7 +401,7 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     reps = staged(spark, docs.filter("n > 0").groupBy("key", "more").agg(F.min("id").alias("id")))
     sketches = staged(spark, held.select("key", "more", F.col("n").cast("int").alias("n"), "sketch", "least").dropDuplicates(["key", "more"]))
 
-    def candidates(lists: DataFrame, nearest: bool) -> DataFrame:
+    def candidates(lists: DataFrame, grouped: bool, nearest: bool) -> DataFrame:
         """Lists (POSTED) of more than LONG_LIST members are split into cells, of two chunks each."""
         long = lists.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > LONG_LIST)
         chunks = F.ceil(F.col("m") / CHUNK).cast("int")
@@ -403,20 +410,28 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
         cells = F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
         spread = lists.join(long, "token", "left").join(sketches.select("key", "sketch"), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
         dealt = spread.repartition(width(spark), "token", "cell").sortWithinPartitions("token", "cell", "size", "key")
-        return dealt.mapInArrow(lambda it: _listed(it, percent, nearest), "a long, b long")
+        return dealt.mapInArrow(lambda it: _listed(it, percent, grouped, nearest), "a long, b long")
 
     least = sketches.select(F.posexplode("least").alias("pos", "token"), F.col("n").alias("size"), "key", F.lit(0).cast("long").alias("group"))
-    near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), True), bodies, reps, k, percent)
-    linked = components(spark, near)
-    grouped = reps.join(linked, "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
+    near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), False, True), bodies, reps, k, percent)
+
+    def groups_of(edges: DataFrame) -> DataFrame:
+        return reps.join(components(spark, edges), "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
+
+    def opened(posted: DataFrame) -> DataFrame:
+        dealt = posted.select("token", "size", "pos", "key", "group").repartition(width(spark), "token").sortWithinPartitions("token", "size", "key")
+        return staged(spark, dealt.mapInArrow(lambda it: _open(it, percent), POSTED))
+
     prefixes = bodies.mapInArrow(lambda it: _prefixes(it, table, k, percent), "key long, more long, n int, tokens binary").dropDuplicates(["key", "more"])
-    posted = prefixes.join(grouped, ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
-    dealt = posted.repartition(width(spark), "token").sortWithinPartitions("token", "size", "key")
-    lists = staged(spark, dealt.mapInArrow(lambda it: _open(it, percent), POSTED))
-    rest = _verify(spark, candidates(lists, False), bodies, reps, k, percent)
+    posted = prefixes.join(groups_of(near), ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
+    lists = opened(posted)
+    # likeliest partners in other groups first, so that a large group is one before all its pairs are asked for
+    more = _verify(spark, candidates(lists, True, True), bodies, reps, k, percent)
+    fewer = opened(lists.drop("group").join(groups_of(near.union(more)).select("key", "group"), "key"))
+    rest = _verify(spark, candidates(fewer, True, False), bodies, reps, k, percent)
     same = docs.filter("n > 0").join(reps.withColumnRenamed("id", "rep"), ["key", "more"]).select("id", "rep").filter("id <> rep")
-    found = components(spark, near.union(rest).union(same.toDF("a", "b")))
-    dropped(spark, lists, sketches, near, rest, reps)
+    found = components(spark, near.union(more).union(rest).union(same.toDF("a", "b")))
+    dropped(spark, lists, fewer, sketches, near, more, rest, reps)
     table.unpersist()
     return docs.select("id", "n").join(found, "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
 

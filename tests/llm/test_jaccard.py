@@ -116,7 +116,7 @@ def test_compared():
     order = np.argsort([len(s) for s in found], kind="stable")
     found, group = [found[i] for i in order], np.array(group)[order]
     size, sketches = np.array([len(s) for s in found]), [jaccard.sketch(s) for s in found]
-    got = set(zip(*(x.tolist() for x in jaccard.compared(size, np.zeros(80, np.int64), group, sketches, 90))))
+    got = set(zip(*(x.tolist() for x in jaccard.compared(size, np.zeros(80, np.int64), group, sketches, 90, False))))
     want = {(i, j) for j in range(80) for i in range(j) if group[i] != group[j] and 100 * len(np.intersect1d(found[i], found[j])) >= 90 * len(np.union1d(found[i], found[j]))}
     assert want <= got and len(got) < 80 * 79 / 4
 
