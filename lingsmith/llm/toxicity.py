@@ -100,7 +100,7 @@ def _fit(batches: Iterator[pa.RecordBatch], p: Ftrl) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
     """The model learned in one task from at most params.documents labelled documents that aren't held out."""
     few = sample(docs, labels, "toxic", 3, 1, params.documents)
-    row = few.mapInArrow(lambda it: _examples(it, params.bits), "doc_id long, features binary, label int").coalesce(1).mapInArrow(lambda it: _fit(it, params), "at binary, weight binary, bias double").collect()
+    row = few.mapInArrow(lambda it: _examples(it, params.bits), "doc_id long, features binary, label int").repartition(1).mapInArrow(lambda it: _fit(it, params), "at binary, weight binary, bias double").collect()
     if not row:
         return np.zeros(0, np.int64), np.zeros(0), -12.0
     return np.frombuffer(row[0]["at"], "<i8"), np.frombuffer(row[0]["weight"], "<f8"), row[0]["bias"]
