@@ -184,7 +184,7 @@ def _fit(batches: Iterator[pa.RecordBatch], p: Mil) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, p: Mil = Mil()) -> bytes:
     """The model, a few kilobytes, learned in one task from at most p.documents labelled documents, none held out."""
     few = sample(docs, labels, "quality", 4, 2, p.documents)
-    rows = few.mapInArrow(lambda it: _examples(it, p), "doc_id long, passages binary, label int").coalesce(1).mapInArrow(lambda it: _fit(it, p), "model binary").collect()
+    rows = few.mapInArrow(lambda it: _examples(it, p), "doc_id long, passages binary, label int").repartition(1).mapInArrow(lambda it: _fit(it, p), "model binary").collect()
     return bytes(rows[0]["model"]) if rows else b""
 
 
