@@ -113,6 +113,23 @@ def e06_wrong_layout_lines(spark, d):
     return x.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.size("b")).alias("words"), F.sum(evidence.same_places(F.col("a"), F.col("b"))).alias("right"), F.sum(F.when(F.col("target") == "uk", 1).otherwise(0)).alias("switched"))
 
 
+@query(None)
+def e07_target_layouts(spark, d):
+    """How many lines ask for the right layout, with and without revising them: Spanish texts whose writer forgot to switch
+    ask for the Ukrainian one, a Spanish word before an English text does not. The word is one of the 64 commonest."""
+    heads = L.word_counts(_docs(spark, d)).filter("lang = 'es' and word rlike '^[a-z]{4,}$'").orderBy(F.desc("n"), "word").limit(64)
+    heads = heads.agg(F.array_sort(F.collect_list("word")).alias("heads"))
+    lines = _lines(spark, d).join(F.broadcast(heads))
+    head = F.get("heads", F.pmod(F.xxhash64("line_id"), F.size("heads")).cast("int"))
+    lines = brain.kept(lines.select(F.concat_ws(":", "lang", "line_id").alias("line_id"), F.when(F.col("lang") == "es", F.col("text")).otherwise(F.concat_ws(" ", head, "text")).alias("text")))
+    lists = _lists(spark, d)
+    asked = lambda context: brain.corrected(lines, KEYS, lists, SCRIPTS, context=context).select("line_id", F.coalesce(F.col("target") == "uk", F.lit(False)).alias("uk"))
+    both = asked(False).withColumnRenamed("uk", "before").join(asked(True), "line_id").withColumn("es", F.col("line_id").startswith("es:"))
+    right = lambda c: F.sum(F.when(F.col(c) == F.col("es"), 1).otherwise(0))
+    kind = F.when(F.col("es"), "wrong layout").otherwise("finished in English").alias("line")
+    return both.groupBy(kind).agg(F.count("*").alias("lines"), right("before").alias("right_alone"), right("uk").alias("right_revised"))
+
+
 _CARRY = re.escape(brain.letter_keys(KEYS))
 _INNER = re.escape("".join(sorted(set(brain.letter_keys(KEYS) + brain.inner_marks(KEYS)))))
 
