@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lingsmith.llm import _spark, jaccard
 from lingsmith.llm._spark import components
 
 
@@ -56,3 +57,30 @@ def test_jobs_of_the_driver(spark):
     assert got == plain([(a, b) for a, b in edges if a != b])
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
     assert jobs <= 25
+
+
+def test_python_workers_of_a_task(spark, monkeypatch):
+    """A task takes a Python worker for each mapInArrow in it, and an executor keeps all of them: one is enough."""
+    plans = []
+
+    def seen(session, df, write=_spark.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(session, df)
+
+    monkeypatch.setattr(_spark, "staged", seen)
+    monkeypatch.setattr(jaccard, "staged", seen)
+    rows = [(i, " ".join(f"w{i // 3}x{j + (i % 3) // 2}" for j in range(40))) for i in range(60)]
+    got = jaccard.groups(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 3 * 3 for i in range(60)}
+    of_task = []
+    for plan in plans:
+        above = []  # (depth, whether it is a mapInArrow) of a line's parents
+        for line in plan.split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-*"))
+            name = line.lstrip(" :+-*").split(" ")[0].strip("()0123456789")
+            above = [x for x in above if x[0] < depth]
+            above.append((depth, name))
+            if name == "MapInArrow":
+                since = max([i for i, x in enumerate(above) if "Exchange" in x[1]], default=-1)
+                of_task.append(sum(x[1] == "MapInArrow" for x in above[since + 1 :]))
+    assert len(of_task) >= 15 and max(of_task) == 1
