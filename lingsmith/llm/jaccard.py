@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingsmith.llm._spark import components, dropped, staged, width
+from lingsmith.llm._spark import components, dropped, shuffled, staged, width
 from lingsmith.llm._text import mix, raw, shingles, slices, words
 
 #: Bits of the table of counts, and the blocks it travels in.
@@ -382,8 +382,8 @@ def _verify(spark: SparkSession, pairs: DataFrame, bodies: DataFrame, reps: Data
         bits[r["block"]] = np.frombuffer(r["body"], np.uint8)
     marks = spark.sparkContext.broadcast(bits.reshape(-1))
     few = bodies.mapInArrow(lambda it: _maybe(it, marks), "key long, more long, body binary").groupBy("key", "more").agg(F.min("body").alias("body"))
-    texts = staged(spark, few.join(used, "key", "left_semi").join(reps, ["key", "more"]).select("key", "id", "body"))
-    both = pairs.join(texts.toDF("a", "i", "x"), "a").join(texts.toDF("b", "j", "y"), "b").select("i", "j", "x", "y")
+    texts = staged(spark, few.join(shuffled(used), "key", "left_semi").join(shuffled(reps), ["key", "more"]).select("key", "id", "body"))
+    both = pairs.join(shuffled(texts.toDF("a", "i", "x")), "a").join(shuffled(texts.toDF("b", "j", "y")), "b").select("i", "j", "x", "y")
     out = staged(spark, both.mapInArrow(lambda it: _verified(it, k, percent), "a long, b long"))
     dropped(spark, texts, pairs)
     marks.unpersist()
@@ -408,7 +408,7 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
         own = F.pmod(F.xxhash64("key"), chunks).cast("int")
         others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * 100_000 + F.greatest(own, c))
         cells = F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
-        spread = lists.join(long, "token", "left").join(sketches.select("key", "sketch"), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
+        spread = lists.join(long, "token", "left").join(shuffled(sketches.select("key", "sketch")), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
         dealt = spread.repartition(width(spark), "token", "cell").sortWithinPartitions("token", "cell", "size", "key")
         return dealt.mapInArrow(lambda it: _listed(it, percent, grouped, nearest), "a long, b long")
 
@@ -416,24 +416,24 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), False, True), bodies, reps, k, percent)
 
     def groups_of(edges: DataFrame) -> DataFrame:
-        return reps.join(components(spark, edges), "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
+        return reps.join(shuffled(components(spark, edges)), "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
 
     def opened(posted: DataFrame) -> DataFrame:
         dealt = posted.select("token", "size", "pos", "key", "group").repartition(width(spark), "token").sortWithinPartitions("token", "size", "key")
         return staged(spark, dealt.mapInArrow(lambda it: _open(it, percent), POSTED))
 
     prefixes = bodies.mapInArrow(lambda it: _prefixes(it, table, k, percent), "key long, more long, n int, tokens binary").dropDuplicates(["key", "more"])
-    posted = prefixes.join(groups_of(near), ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
+    posted = prefixes.join(shuffled(groups_of(near)), ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
     lists = opened(posted)
     # likeliest partners in other groups first, so that a large group is one before all its pairs are asked for
     more = _verify(spark, candidates(lists, True, True), bodies, reps, k, percent)
-    fewer = opened(lists.drop("group").join(groups_of(near.union(more)).select("key", "group"), "key"))
+    fewer = opened(lists.drop("group").join(shuffled(groups_of(near.union(more)).select("key", "group")), "key"))
     rest = _verify(spark, candidates(fewer, True, False), bodies, reps, k, percent)
-    same = docs.filter("n > 0").join(reps.withColumnRenamed("id", "rep"), ["key", "more"]).select("id", "rep").filter("id <> rep")
+    same = docs.filter("n > 0").join(shuffled(reps.withColumnRenamed("id", "rep")), ["key", "more"]).select("id", "rep").filter("id <> rep")
     found = components(spark, near.union(more).union(rest).union(same.toDF("a", "b")))
     dropped(spark, lists, fewer, sketches, near, more, rest, reps)
     table.unpersist()
-    return docs.select("id", "n").join(found, "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
+    return docs.select("id", "n").join(shuffled(found), "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
 
 
 def _id(column):
@@ -447,5 +447,5 @@ def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80, k: int =
     Of rows with the same id and text one stays; rows with a null id all stay.
     """
     found = groups(spark, df, percent, k, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = df.filter(F.col(id_col).isNotNull()).join(found, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    stay = df.filter(F.col(id_col).isNotNull()).join(shuffled(found), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
     return stay.dropDuplicates([id_col, text_col]).unionByName(df.filter(F.col(id_col).isNull()))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingsmith.llm._spark import dropped, staged
+from lingsmith.llm._spark import dropped, shuffled, staged
 
 #: Bytes of a common block; holders of a run that all pair with each other; partners of a document in one task.
 LEAST, RARE, FOLLOWERS = 10, 4, 1024
@@ -173,7 +173,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id")
     lined = staged(spark, rows.mapInArrow(_lined, LINED))
     held = lined.select(F.explode("keys").alias("key"), F.struct("doc", "tie").alias("who")).distinct()
     owners = held.groupBy("key").agg(F.min("who").alias("owner"), F.count("*").alias("holders")).filter("holders > 1")
-    shared = staged(spark, held.join(owners, "key").filter((F.col("who") != F.col("owner")) | (F.col("holders") <= RARE)))
+    shared = staged(spark, held.join(shuffled(owners), "key").filter((F.col("who") != F.col("owner")) | (F.col("holders") <= RARE)))
     # the holders of a rare run, in order: every two of them
     few = shared.filter(F.col("holders").between(3, RARE)).groupBy("key").agg(F.sort_array(F.collect_list("who")).alias("all"))
     each = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", F.lit(1), i), lambda y: F.struct(x.alias("who"), y.alias("owner")))))
@@ -185,7 +185,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id")
     dealt = pairs.join(parts, "owner", "left").select("who", "owner", F.pmod(F.xxhash64("who"), F.coalesce("parts", F.lit(1))).alias("part"))
     first = texts.select(F.col("who").alias("owner"), F.col("lines").alias("first")).join(parts, "owner", "left")
     first = first.select("owner", "first", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).withColumn("part", F.col("part").cast("long"))
-    both = dealt.withColumn("part", F.col("part").cast("long")).join(texts, "who").join(first, ["owner", "part"])
+    both = dealt.withColumn("part", F.col("part").cast("long")).join(shuffled(texts), "who").join(shuffled(first), ["owner", "part"])
     gone = staged(spark, both.select("who.doc", "who.tie", "lines", "sizes", "first").mapInArrow(_aligned, "doc long, tie long, gone array<int>"))
     dropped(spark, lined, shared, pairs)
     merged = gone.groupBy("doc", "tie").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
@@ -199,7 +199,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") ->
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated_lines(spark, docs, id_col)
-    joined = docs.select(*kept, *_key(id_col)).join(gone, ["__doc", "__tie"], "left")
+    joined = docs.select(*kept, *_key(id_col)).join(shuffled(gone), ["__doc", "__tie"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     left = F.filter(F.col("__lines"), lambda x, i: ~F.array_contains("__gone", i))
     whole = F.forall(left, lambda x: F.trim(x) == "")

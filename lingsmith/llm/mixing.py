@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lingsmith.llm._spark import dropped, staged
+from lingsmith.llm._spark import dropped, shuffled, staged
 
 #: Documents of a block of a permutation, about; blocks of a source at most.
 BLOCK_DOCS, MOST_BLOCKS = 1024, 1 << 20
@@ -99,7 +99,7 @@ def _block(h: str, blocks: str) -> Column:
 
 
 def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(sources) if sources.limit(FEW + 1).count() <= FEW else sources, "__source")
+    return rows.join(F.broadcast(sources) if sources.limit(FEW + 1).count() <= FEW else shuffled(sources), "__source")
 
 
 def mix(spark: SparkSession, docs: DataFrame, entropy: float | None = None, repetition: float | None = 2.0, budget: float | None = None, source_col: str = "source", id_col: str = "doc_id", seed: int = 17) -> DataFrame:

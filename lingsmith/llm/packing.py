@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingsmith.llm._spark import staged
+from lingsmith.llm._spark import shuffled, staged
 from lingsmith.llm._tokens import byte_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, bin long, offset long, open boolean"
@@ -134,7 +134,7 @@ def pack(spark: SparkSession, df: DataFrame, tokenizer_path: str, size: int = 20
     order = [F.col("used").desc(), "shard", "bin"]
     again = staged(spark, opened.repartitionById(tasks, F.pmod(F.xxhash64("shard", "bin"), F.lit(tasks)).cast("int")).sortWithinPartitions(*order).mapInArrow(lambda it: _repacked(it, size), "shard long, bin long, new_shard long, new_bin long, more long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    moved = first.filter("open").join(again, ["shard", "bin"]).select(*columns, _sequence("new_shard", "new_bin"), (F.col("offset") + F.col("more")).alias("offset"))
+    moved = first.filter("open").join(shuffled(again), ["shard", "bin"]).select(*columns, _sequence("new_shard", "new_bin"), (F.col("offset") + F.col("more")).alias("offset"))
     return first.filter("not open").select(*columns, _sequence("shard", "bin"), "offset").union(moved)
 
 

@@ -1,11 +1,13 @@
 """Each stage of the pipeline against a plain version on what the stage before kept."""
 
+import re
 from collections import Counter
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lingsmith.llm import _spark, jaccard, linededup, packing
 from lingsmith.llm._spark import staged
 from tests.llm.test_jaccard import plain
 from tests.llm.test_lines_mixing import plain_lines
@@ -61,3 +63,17 @@ def test_stages_on_odd_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    """However small Spark takes them to be: only owners of many partners, long lists and weights may go to the driver."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (_spark, jaccard, linededup, packing):
+        monkeypatch.setattr(module, "staged", lambda spark, df: (plan(df), staged(spark, df))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:3] + corpus_pipeline.STAGES[4:]:
+        plan(stage(spark, docs, SF))
+    assert len(plans) > 20 and any("SortMergeJoin" in x for x in plans)
+    assert {re.sub(r"#\d+L?", "", on) for x in plans for on in re.findall(r"BroadcastHashJoin \[([^]]*)\]", x)} <= {"owner", "token"}
