@@ -11,6 +11,12 @@ from lingsmith.functions import phonetic
 from lingsmith.functions import text as X
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle and merge, never by broadcast: for sides that grow with the input. Spark sizes tables by
+    their compressed files and an array that is exploded as one element, and would collect too much on the driver."""
+    return df.hint("merge")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n): words of letters, lower-cased; sums are held at the largest long."""
     found = docs.select("lang", F.explode(X.words(F.col("text"))).alias("w"))
@@ -74,7 +80,7 @@ def fuzzy(typed: DataFrame, listed: DataFrame, most: int = 2, by: list[str] | No
 
     by = by or []
     a = deletes(typed.select(*by, "word"), most).withColumnRenamed("word", "typed")
-    both = a.join(deletes(listed.select(*by, "word"), most), [*by, "variant"]).filter(F.abs(F.length("typed") - F.length("word")) <= most)
+    both = a.join(shuffled(deletes(listed.select(*by, "word"), most)), [*by, "variant"]).filter(F.abs(F.length("typed") - F.length("word")) <= most)
     # a swap is two plain edits, so what is further apart than twice as many is out before Python sees it
     near = both.select(*by, "typed", "word").distinct().filter(F.levenshtein("typed", "word", 2 * most) >= 0)
     return near.withColumn("dist", slips.osa(F.col("typed"), F.col("word"))).filter(F.col("dist") <= most)
@@ -93,14 +99,14 @@ def nearest(typed: DataFrame, listed: DataFrame, most: int = 2, by: list[str] |
         hits = keep(fuzzy(left, listed, edits, by).filter("dist > 0"))
         hits = hits if edits == 1 else closest(hits, [*by, "typed"])
         found = hits if found is None else found.union(hits)
-        left = left.join(hits.select(*by, F.col("typed").alias("word")), [*by, "word"], "left_anti")
+        left = left.join(shuffled(hits.select(*by, F.col("typed").alias("word"))), [*by, "word"], "left_anti")
     return found
 
 
 def closest(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Of pairs (…by, word, dist) those at the least distance of each group."""
     least = pairs.groupBy(*by).agg(F.min("dist").alias("_least"))
-    return pairs.join(least, by).filter(F.col("dist") == F.col("_least")).drop("_least")
+    return pairs.join(shuffled(least), by).filter(F.col("dist") == F.col("_least")).drop("_least")
 
 
 def sound_alikes(heard: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
