@@ -14,8 +14,12 @@ ASCII_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9\t\n\x0b\x
 LATIN_PIECE = re.compile("'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9\t\n\x0b\x0c\r \xa0]+")
 BEYOND_LATIN = re.compile("[^\x00-\x7f\xa0¡«»¿À-ÖØ-öø-ɏ‘’“”–—…]")
 
-#: Pieces that a worker remembers at most; then it starts afresh.
-REMEMBERED = 1_200_000
+#: Chunks, and pieces of them, that a worker remembers at most; then it starts afresh.
+REMEMBERED, REMEMBERED_PIECES = 1_200_000, 600_000
+
+#: Letters of byte-level vocabularies for bytes that are no printable characters of Latin 1; others stand for themselves.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 _kept: dict[str, object] = {}
 
@@ -63,41 +67,73 @@ def byte_tokens(json_path: str) -> ByteTokens:
 
 
 class WordTokens:
-    """Ids of the lower-casing word vocabulary by the tokenizers library, each distinct piece encoded once a worker.
+    """Ids of the lower-casing word vocabulary by the tokenizers library, each distinct chunk between blanks encoded once a
+    worker.
 
-    In texts of the Latin blocks its pattern never crosses the boundaries of the pieces, so the ids of a text are those
-    of its pieces in turn. Pieces of ASCII go straight to the library's BPE model, others through its whole chain. Any
-    other text goes to the library whole: normal forms and classes of letters are those of the library's own tables.
+    In texts of the Latin blocks its pattern never crosses the boundaries of the pieces, nor a piece a blank, so the ids of
+    a text are those of its chunks in turn. Pieces go straight to the library's BPE model, their bytes as the letters that
+    stand for bytes there; those with control characters through its whole chain. Any other text goes to the library whole:
+    normal forms and classes of letters are those of the library's own tables.
     """
 
     def __init__(self, json_path: str):
         self.tokenizer = library(json_path)
         self.model = self.tokenizer.model
         # dotted capital I is the one letter whose lower case holds a mark, at which the pattern splits
-        self.special = [*(str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()), "\u0130"]
+        special = [*(str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()), "\u0130"]
+        self.special = [x for x in special if not x.encode().split() == [x.encode()]]  # those with a blank are in no chunk
+        self.inside = [x for x in special if x not in self.special]
+        self.letters_plain = not any(x.encode().isalpha() for x in special)  # no special token in a chunk of letters
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         self.ids: dict[str, bytes] = {}
+        #: Ids of chunks; None for chunks whose texts go to the library whole.
+        self.chunks: dict[bytes, bytes | None] = {}
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as the smallest unsigned integers that hold the vocabulary."""
-        if any(x in text for x in self.special) or not text.isascii() and BEYOND_LATIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        pieces = ASCII_PIECE.findall(text.lower()) if text.isascii() else LATIN_PIECE.findall(text)
-        ids = self.ids
+        return self.encode_utf8(text.encode())
+
+    def encode_utf8(self, data: bytes) -> np.ndarray:
+        """As encode, of a text in UTF-8, whose blanks are those of ASCII."""
+        chunks, known = data.split(), self.chunks
         try:
-            return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
+            found = list(map(known.__getitem__, chunks))
         except KeyError:
+            if len(known) > REMEMBERED:
+                known.clear()
+            self._learn([x for x in set(chunks) if x not in known])
+            found = list(map(known.__getitem__, chunks))
+        try:
+            if not (self.special and any(x.encode() in data for x in self.special)):
+                return np.frombuffer(b"".join(found), self.kind)
+        except TypeError:  # a chunk without ids
             pass
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        new = [x for x in set(pieces) if x not in ids]
-        plain = [x for x in new if x.isascii() and x.isprintable()]
-        other = [x for x in new if not (x.isascii() and x.isprintable())]
-        for x in plain:
-            ids[x] = np.array([t.id for t in self.model.tokenize(x.lower())], self.kind).tobytes()
-        for x, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            ids[x] = np.array(found.ids, self.kind).tobytes()
-        return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.ids) > REMEMBERED_PIECES:
+            self.ids.clear()
+        known, piece = self.chunks, self._piece
+        for x in chunks:
+            if self.letters_plain and x.isalpha():
+                known[x] = piece(x.lower().decode())
+                continue
+            text = x.decode()
+            if any(s in text for s in self.inside) or not text.isascii() and BEYOND_LATIN.search(text):
+                known[x] = None
+            else:
+                known[x] = b"".join(map(piece, ASCII_PIECE.findall(text.lower()) if text.isascii() else [p.lower() for p in LATIN_PIECE.findall(text)]))
+
+    def _piece(self, x: str) -> bytes:
+        found = self.ids.get(x)
+        if found is None:
+            if x.isprintable():
+                letters = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [t.id for t in self.model.tokenize(letters)]
+            else:
+                ids = self.tokenizer.encode(x, add_special_tokens=False).ids
+            found = self.ids[x] = np.array(ids, self.kind).tobytes()
+        return found
 
 
 def word_tokens(json_path: str) -> WordTokens:

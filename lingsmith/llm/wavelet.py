@@ -204,7 +204,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds:
         for i in range(0, len(ids), 500):
             out = []
             for j in range(i, min(i + 500, len(ids))):
-                found = np.append(tokens.encode(data[off[j] : off[j + 1]].tobytes().decode()), tokens.kind(end_id))
+                found = np.append(tokens.encode_utf8(data[off[j] : off[j + 1]].tobytes()), tokens.kind(end_id))
                 out.append(pack.compress(found.tobytes() if found.itemsize == 2 else b"\0" + found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 500]), ids[i : i + 500], pa.array(out, pa.binary())], ["bucket", "doc_id", "ids"])
 

@@ -177,3 +177,11 @@ def test_fingerprints_odd(spark, odd):
     assert fingerprint.probe(spark, odd.limit(0)).count() == 0
     one = fingerprint.probe(spark, odd.filter("doc_id = 9")).collect()
     assert one[0].near_next == 1.0
+
+
+def test_chunks_are_encoded_once():
+    """A text of known chunks is neither cut into pieces nor asked of the library; blanks beyond ASCII part no chunk."""
+    own = word_tokens(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Señor's  Año, ÀÉ\xa0x\x1cy «uno»", "don't\x0bWE'LL <|endoftext|> go", "ñandú İ x", "привет the", "Ⱥ ɏ ŉ ǰ …"):
+        assert own.encode_utf8(text.encode()).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids == own.encode(text).tolist()
+    assert own.chunks[b"don't"] == own.encode("don't").tobytes() and own.chunks["İ".encode()] is None
