@@ -40,8 +40,8 @@ SKETCH_BITS = 512
 LONG_LIST, CHUNK = 4096, 2048
 #: Members that are compared at once.
 BLOCK = 256
-#: Bits of the map that tells which texts are asked for, and the blocks it travels in.
-MARK_BITS, MARK_BLOCKS = 24, 16
+#: Bits of the map that tells which texts are asked for, and of the blocks it travels in (those of Spark's bitmaps).
+MARK_BITS, MARK_BLOCK_BITS = 24, 15
 #: Hashes by which the first similar set is found; rows of an index list that are held until a second group shows up.
 LEAST, HELD = 3, 100_000
 #: An id that stands for null, after all others.
@@ -152,7 +152,7 @@ def prefix(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], table, k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(key, more, n, tokens) of texts: the prefix of each set, in the order of rarity."""
+    """(key, id, n, tokens) of texts: the prefix of each set, in the order of rarity."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -161,7 +161,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], table, k: int, percent: int) ->
             for _, found in sets(texts, k):
                 n += [len(s) for s in found]
                 tokens += [prefix(s, table.value, percent).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["key", "more", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], ["key", "id", "n", "tokens"])
 
 
 POSTED = "token long, size int, pos int, key long, group long"
@@ -335,28 +335,6 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a bitmap of digests."""
-    bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
-    flat = bits.reshape(-1)
-    for batch in batches:
-        at = _slots(batch.column(0))
-        np.bitwise_or.at(flat, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    used = np.flatnonzero(bits.any(1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zstandard.compress(bits[i].tobytes(), 1) for i in used], pa.binary())], ["block", "body"])
-
-
-def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(zstandard.decompress(body), np.uint8)
-            total[block] = total[block] | x if block in total else x
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "body"])
-
-
 def _slots(keys: pa.Array) -> np.ndarray:
     return (keys.to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
@@ -368,21 +346,20 @@ def _maybe(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
 
 
-def _verify(spark: SparkSession, pairs: DataFrame, bodies: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(spark: SparkSession, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of pairs of keys, as ids of representatives; a key stands for all sets that have it.
 
     A bitmap of fixed size (2 MB) first leaves out most other texts, so that those which nothing asks for aren't
     shuffled; the joins are exact.
     """
     pairs = staged(spark, pairs.distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = used.mapInArrow(_marked, "block int, body binary").repartition(MARK_BLOCKS, "block").mapInArrow(_joined_marks, "block int, body binary").collect()
-    bits = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS // 8), np.uint8)
-    for r in rows:
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("slot"))
+    place = F.col("slot").bitwiseAND((1 << MARK_BLOCK_BITS) - 1)
+    bits = np.zeros((1 << (MARK_BITS - MARK_BLOCK_BITS), (1 << MARK_BLOCK_BITS) // 8), np.uint8)
+    for r in slots.groupBy(F.shiftright("slot", MARK_BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(place).alias("body")).collect():
         bits[r["block"]] = np.frombuffer(r["body"], np.uint8)
     marks = spark.sparkContext.broadcast(bits.reshape(-1))
-    few = bodies.mapInArrow(lambda it: _maybe(it, marks), "key long, more long, body binary").groupBy("key", "more").agg(F.min("body").alias("body"))
-    texts = staged(spark, few.join(shuffled(used), "key", "left_semi").join(shuffled(reps), ["key", "more"]).select("key", "id", "body"))
+    texts = staged(spark, reps.select("key", "id", "body").mapInArrow(lambda it: _maybe(it, marks), "key long, id long, body binary"))
     both = pairs.join(shuffled(texts.toDF("a", "i", "x")), "a").join(shuffled(texts.toDF("b", "j", "y")), "b").select("i", "j", "x", "y")
     out = staged(spark, both.mapInArrow(lambda it: _verified(it, k, percent), "a long, b long"))
     dropped(spark, texts, pairs)
@@ -396,10 +373,9 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
     first = staged(spark, rows.mapInArrow(lambda it: _first(it, k), FIRST))
     table = spark.sparkContext.broadcast(rarity(first))
     docs = first.filter("block is null").select("id", "n", "key", "more")
-    held = first.filter("body is not null and block is null")
-    bodies = held.select("key", "more", "body")
-    reps = staged(spark, docs.filter("n > 0").groupBy("key", "more").agg(F.min("id").alias("id")))
-    sketches = staged(spark, held.select("key", "more", F.col("n").cast("int").alias("n"), "sketch", "least").dropDuplicates(["key", "more"]))
+    # each distinct set once, with one of its texts: what follows reads them without a shuffle
+    kept = [F.min(x).alias(x) for x in ("id", "n", "body", "sketch", "least")]
+    reps = staged(spark, first.filter("block is null and n > 0").groupBy("key", "more").agg(*kept).withColumn("n", F.col("n").cast("int")))
 
     def candidates(lists: DataFrame, grouped: bool, nearest: bool) -> DataFrame:
         """Lists (POSTED) of more than LONG_LIST members are split into cells, of two chunks each."""
@@ -408,30 +384,30 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 90, k: int = 3, id
         own = F.pmod(F.xxhash64("key"), chunks).cast("int")
         others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * 100_000 + F.greatest(own, c))
         cells = F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(others))
-        spread = lists.join(long, "token", "left").join(shuffled(sketches.select("key", "sketch")), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
+        spread = lists.join(long, "token", "left").join(shuffled(reps.select("key", "sketch")), "key").select("token", F.explode(cells).alias("cell"), "size", "pos", "key", "group", "sketch")
         dealt = spread.repartition(width(spark), "token", "cell").sortWithinPartitions("token", "cell", "size", "key")
         return dealt.mapInArrow(lambda it: _listed(it, percent, grouped, nearest), "a long, b long")
 
-    least = sketches.select(F.posexplode("least").alias("pos", "token"), F.col("n").alias("size"), "key", F.lit(0).cast("long").alias("group"))
-    near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), False, True), bodies, reps, k, percent)
+    least = reps.select(F.posexplode("least").alias("pos", "token"), F.col("n").alias("size"), "key", F.lit(0).cast("long").alias("group"))
+    near = _verify(spark, candidates(least.select("token", "size", "pos", "key", "group"), False, True), reps, k, percent)
 
-    def groups_of(edges: DataFrame) -> DataFrame:
-        return reps.join(shuffled(components(spark, edges)), "id", "left").select("key", "more", F.coalesce("component", "id").alias("group"))
+    def grouped(sets: DataFrame, edges: DataFrame) -> DataFrame:
+        return sets.join(shuffled(components(spark, edges)), "id", "left").withColumn("group", F.coalesce("component", "id"))
 
     def opened(posted: DataFrame) -> DataFrame:
         dealt = posted.select("token", "size", "pos", "key", "group").repartition(width(spark), "token").sortWithinPartitions("token", "size", "key")
         return staged(spark, dealt.mapInArrow(lambda it: _open(it, percent), POSTED))
 
-    prefixes = bodies.mapInArrow(lambda it: _prefixes(it, table, k, percent), "key long, more long, n int, tokens binary").dropDuplicates(["key", "more"])
-    posted = prefixes.join(shuffled(groups_of(near)), ["key", "more"]).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
+    prefixes = reps.select("key", "id", "body").mapInArrow(lambda it: _prefixes(it, table, k, percent), "key long, id long, n int, tokens binary")
+    posted = grouped(prefixes, near).select("key", "group", "n", "tokens").mapInArrow(_posted, POSTED)
     lists = opened(posted)
     # likeliest partners in other groups first, so that a large group is one before all its pairs are asked for
-    more = _verify(spark, candidates(lists, True, True), bodies, reps, k, percent)
-    fewer = opened(lists.drop("group").join(shuffled(groups_of(near.union(more)).select("key", "group")), "key"))
-    rest = _verify(spark, candidates(fewer, True, False), bodies, reps, k, percent)
-    same = docs.filter("n > 0").join(shuffled(reps.withColumnRenamed("id", "rep")), ["key", "more"]).select("id", "rep").filter("id <> rep")
+    more = _verify(spark, candidates(lists, True, True), reps, k, percent)
+    fewer = opened(lists.drop("group").join(shuffled(grouped(reps.select("key", "id"), near.union(more)).select("key", "group")), "key"))
+    rest = _verify(spark, candidates(fewer, True, False), reps, k, percent)
+    same = docs.filter("n > 0").join(shuffled(reps.select("key", "more", F.col("id").alias("rep"))), ["key", "more"]).select("id", "rep").filter("id <> rep")
     found = components(spark, near.union(more).union(rest).union(same.toDF("a", "b")))
-    dropped(spark, lists, fewer, sketches, near, more, rest, reps)
+    dropped(spark, lists, fewer, near, more, rest, reps)
     table.unpersist()
     return docs.select("id", "n").join(shuffled(found), "id", "left").select(_id("id").alias("doc_id"), F.col("n").alias("n_shingles"), _id(F.coalesce("component", "id")).alias("component_id"))
 

@@ -129,3 +129,18 @@ def test_sketch_bound():
         x, y = jaccard.sketch(a), jaccard.sketch(b)
         w = min(len(x), len(y))
         assert np.bitwise_count(jaccard.folded([x], w) ^ jaccard.folded([y], w)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_stages(spark):
+    """Each stage and task costs time however few rows it has: joins and shuffles that nothing needs show in their numbers."""
+    rows = [(i, " ".join(f"w{i // 3}x{j + (i % 3) // 2}" for j in range(40))) for i in range(60)]
+    spark.sparkContext.setJobGroup("groups", "groups")
+    try:
+        got = jaccard.groups(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 3 * 3 for i in range(60)}
+    told = spark.sparkContext.statusTracker()
+    ran = {s: told.getStageInfo(s) for j in told.getJobIdsForGroup("groups") for s in told.getJobInfo(j).stageIds}
+    tasks = [x.numCompletedTasks for x in ran.values() if x and x.numCompletedTasks]
+    assert len(tasks) <= 98 and sum(tasks) <= 300
