@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingsmith.llm._spark import buckets, id_bounds, staged
-from lingsmith.llm._text import raw
+from lingsmith.llm._text import raw, slices
 from lingsmith.llm._tokens import word_tokens
 
 MAGIC = b"WVM2"
@@ -201,12 +201,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds:
         data, off = raw(batch.column(1))
         ids = batch.column(0)
         at = buckets(ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), bounds)
-        for i in range(0, len(ids), 500):
-            out = []
-            for j in range(i, min(i + 500, len(ids))):
-                found = np.append(tokens.encode_utf8(data[off[j] : off[j + 1]].tobytes()), tokens.kind(end_id))
-                out.append(pack.compress(found.tobytes() if found.itemsize == 2 else b"\0" + found.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 500]), ids[i : i + 500], pa.array(out, pa.binary())], ["bucket", "doc_id", "ids"])
+        for i, j in slices(off, 1 << 22):
+            found = [np.append(x, tokens.kind(end_id)) for x in tokens.encode_all(data[off[i] : off[j]], off[i : j + 1] - off[i])]
+            out = [pack.compress(x.tobytes() if x.itemsize == 2 else b"\0" + x.tobytes()) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:j]), ids[i:j], pa.array(out, pa.binary())], ["bucket", "doc_id", "ids"])
 
 
 def _unpacked(data: bytes) -> np.ndarray:

@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lingsmith.llm import fingerprint, packing, wavelet
+from lingsmith.llm import _tokens, fingerprint, packing, wavelet
+from lingsmith.llm._text import raw
 from lingsmith.llm._tokens import word_tokens
 from lingsmith.llm.queries import op3_best_fit_packing, op9_fingerprints, op10_wavelet_tokens
 
@@ -185,3 +187,21 @@ def test_chunks_are_encoded_once():
     for text in ("Señor's  Año, ÀÉ\xa0x\x1cy «uno»", "don't\x0bWE'LL <|endoftext|> go", "ñandú İ x", "привет the", "Ⱥ ɏ ŉ ǰ …"):
         assert own.encode_utf8(text.encode()).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids == own.encode(text).tolist()
     assert own.chunks[b"don't"] == own.encode("don't").tobytes() and own.chunks["İ".encode()] is None
+
+
+def test_new_chunks_of_many_texts_are_learned_together(monkeypatch):
+    """Texts side by side: no chunk crosses from one to the next, keys of all sizes are told apart, and each is learned once."""
+    own, seen = _tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json")), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: seen.append(chunks) or learn(chunks))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeñü0'.,") for _ in range(rng.randrange(1, 40))) for _ in range(4000)] + ["a", "a\0", "a\0\0", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 16 + "\0"]
+    texts = ["", "ab", "cd ", "", " ef", "don't", "İ a", "привет the", "a<|endoftext|>b", *(rng.choice([" ", "\n\t"]).join(rng.choices(words, k=200)) for _ in range(60)), ""]
+    data, off = raw(pa.array(texts))
+    want = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode_all(data, off)] == want
+    assert len(seen) == 1 and len(set(seen[0])) == len(seen[0]) == len({y for x in texts for y in x.encode().split()})
+    monkeypatch.setattr(_tokens, "REMEMBERED", 10)
+    monkeypatch.setattr(_tokens, "REMEMBERED_PIECES", 10)
+    assert [x.tolist() for x in own.encode_all(data, off)] == want and len(seen) == 2
