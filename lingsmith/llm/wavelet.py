@@ -114,7 +114,7 @@ class WaveletMatrix:
         for bit in range(bits - 1, -1, -1):
             one = (now >> now.dtype.type(bit)) & now.dtype.type(1) != 0
             planes.append(Plane.of(one))
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([now.take(np.flatnonzero(~one)), now.take(np.flatnonzero(one))])  # masks of mixed bits cost twice as much
         return cls(len(ids), planes, documents)
 
     def to_bytes(self) -> bytes:
@@ -140,8 +140,8 @@ class WaveletMatrix:
         for shift, plane in enumerate(reversed(self.planes)):
             one = plane.bits()
             up = np.empty(self.n, kind)
-            up[~one] = now[: plane.zeros]
-            up[one] = now[plane.zeros :] | kind(1 << shift)
+            up[np.flatnonzero(~one)] = now[: plane.zeros]
+            up[np.flatnonzero(one)] = now[plane.zeros :] | kind(1 << shift)
             now = up
         return now.astype(np.uint32)
 
